@@ -33,6 +33,11 @@ def clip(column: Column, low: float | None = None, high: float | None = None) ->
     return result.otherwise(column)
 
 
+def non_zero(column: Column, message: str) -> Column:
+    """Counter that must not be zero; raised while the query runs."""
+    return F.when(column == 0, F.raise_error(F.lit(message)).cast("long")).otherwise(column)
+
+
 def count_true(flags: list[str]) -> Column:
     """Number of set flags in a row."""
     return reduce(lambda a, b: a + b, [F.col(f).cast("long") for f in flags])

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from companylens.schema import NO_SHAREHOLDER_SENTENCE
 
-# Unicode white space plus the four separator controls that Python also counts.
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+# Unicode white space, with the four separator controls, wherever it is not
+# already one plain space.
+WHITESPACE = r"(?U)[\s\x1c-\x1f]{2,}|[\s\x1c-\x1f&&[^ ]]"
 NON_ASCII = r"[^\x00-\x7F]"
 HANGUL = r"[\x{AC00}-\x{D7A3}]"
 
@@ -93,30 +94,18 @@ def _expand_character(char: Column) -> Column:
     )
 
 
-@lru_cache(maxsize=1)
-def _expandable_pattern() -> str:
-    """Character class of everything ``_expand_character`` rewrites."""
-    codes = sorted(ord(c) for c in _accent_tables()[2])
-    ranges, start, previous = [], codes[0], codes[0]
-    for code in codes[1:] + [-1]:
-        if code != previous + 1:
-            ranges.append(rf"\x{{{start:X}}}-\x{{{previous:X}}}")
-            start = code
-        previous = code
-    return "[" + HANGUL[1:-1] + "".join(ranges) + "]"
-
-
 def remove_accents(value: Column) -> Column:
     """NFKD without combining marks.
 
     Plain ASCII text, the common case, only pays one pattern test.
     """
-    source, target, _, _ = _accent_tables()
+    source, target, expandable, _ = _accent_tables()
     translated = F.translate(value, source, target)
     expanded = F.array_join(F.transform(F.split(translated, ""), _expand_character), "")
+    has_expandable = (F.translate(value, expandable, "") != value) | value.rlike(HANGUL)
     return F.when(
         value.rlike(NON_ASCII),
-        F.when(value.rlike(_expandable_pattern()), expanded).otherwise(translated),
+        F.when(has_expandable, expanded).otherwise(translated),
     ).otherwise(value)
 
 

@@ -14,13 +14,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key table is broadcast only when its counted bytes stay under this size.
 BROADCAST_BYTES = 32 * 1024 * 1024
 # At most this many of the most frequent keys are attached by broadcast when
 # the whole table is too large for it, and their rows are spread out.
 HOT_KEYS = 1_000
-HOT_SPREAD = 8_192
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,6 +58,24 @@ def _same_keys(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Colum
     )
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Approximate size of a row, with the real length of texts and arrays."""
+    parts = []
+    for column in df.schema:
+        value = F.col(column.name)
+        if isinstance(column.dataType, (T.StringType, T.BinaryType)):
+            parts.append(16 + F.coalesce(F.octet_length(value), F.lit(0)))
+        elif isinstance(column.dataType, T.ArrayType):
+            parts.append(16 + 8 * F.coalesce(F.cardinality(value), F.lit(0)))
+        else:
+            parts.append(F.lit(16))
+    return reduce(lambda a, b: a + b, parts).cast("long")
+
+
+def _digest(keys) -> Column:
+    return F.sha2(F.to_json(F.struct(*keys)), 256)
+
+
 def join_by_key(
     rows: DataFrame,
     table: DataFrame,
@@ -76,23 +94,12 @@ def join_by_key(
 
     * small: broadcast, the wide rows are never shuffled;
     * large: the ``HOT_KEYS`` heaviest keys are attached by broadcast (bounded
-      by construction) and their rows get a salt, so that no task of the
-      following key join receives a whole hot group.
+      by construction) and their rows are spread by a salt, so that no task of
+      the following key join receives a whole hot group.
     """
     payload = [c for c in table.columns if c not in keys and c != weight]
     table = materialize(table, "keyed")
-    size = table.agg(
-        F.coalesce(
-            F.sum(
-                F.lit(16 * len(table.columns))
-                + sum(
-                    (F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys),
-                    F.lit(0),
-                )
-            ),
-            F.lit(0),
-        )
-    ).first()[0]
+    size = table.agg(F.coalesce(F.sum(_row_bytes(table)), F.lit(0))).first()[0]
 
     aliases = {k: f"__key_{i}" for i, k in enumerate(keys)}
     renamed = table.select(
@@ -104,21 +111,22 @@ def join_by_key(
             *aliases.values()
         )
 
+    # Hot keys travel as digests, so their size is bounded whatever the keys are.
+    # A row that misses its digest still finds its key in the key join below.
     hot = renamed.orderBy(F.desc(weight), *aliases.values()).limit(HOT_KEYS)
     hot = F.broadcast(
         hot.select(
-            *aliases.values(),
-            F.lit(True).alias("__hot"),
+            _digest(aliases.values()).alias("__hot"),
             *[F.col(c).alias(f"__hot_{c}") for c in payload],
         )
     )
-    salt = F.pmod(F.xxhash64(*(spread_by or rows.columns)), F.lit(HOT_SPREAD)) + 1
-    marked = (
-        rows.join(hot, _same_keys(rows, hot, aliases), "left")
-        .drop(*aliases.values())
-        .withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(F.lit(0).cast("long")))
+    # Second join column: the key's own hash, or a per-row hash for hot rows,
+    # which have their partner already and only need to be spread out.
+    spread = F.xxhash64(*(spread_by or rows.columns))
+    marked = rows.join(hot, _digest(keys) == F.col("__hot"), "left").withColumn(
+        "__salt", F.when(F.col("__hot").isNotNull(), spread).otherwise(F.xxhash64(*keys))
     )
-    cold = renamed.drop(weight).withColumn("__cold", F.lit(0).cast("long"))
+    cold = renamed.drop(weight).withColumn("__cold", F.xxhash64(*aliases.values()))
     joined = marked.join(
         cold,
         _same_keys(marked, cold, aliases) & (marked["__salt"] == cold["__cold"]),
@@ -127,7 +135,9 @@ def join_by_key(
     return joined.select(
         *[F.col(c) for c in rows.columns],
         *[
-            F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c)
+            F.when(F.col("__hot").isNotNull(), F.col(f"__hot_{c}"))
+            .otherwise(F.col(c))
+            .alias(c)
             for c in payload
         ],
     )

@@ -10,7 +10,12 @@ from companylens.functions.numeric import total
 from companylens.operators.distributed import join_by_key, running_total
 from companylens.operators.summaries import summarize_places
 from companylens.schema import EBITDA, EMPLOYEES, MAPPING_COLUMNS, REVENUE
-from companylens.sources.contracts import enforce, mapping_report, require_columns
+from companylens.sources.contracts import (
+    enforce,
+    mapping_report,
+    require_columns,
+    require_rows,
+)
 
 GEOGRAPHY_COLUMNS = [
     "company_name",
@@ -54,7 +59,7 @@ def inventory_labels(df: DataFrame) -> DataFrame:
 
 def create_municipality_inventory(df: DataFrame) -> DataFrame:
     """Audit inventory with sequential ids, most frequent label first."""
-    labels = inventory_labels(df)
+    labels = inventory_labels(require_rows(df, "create a municipality inventory"))
     order = [
         F.desc("company_count"),
         F.desc("revenue_total_k_eur"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from companylens.functions.numeric import count_true, safe_divide
+from companylens.functions.numeric import count_true, non_zero
 from companylens.schema import QUALITY_REASONS, RISK_REASONS
 from companylens.sources.contracts import require_columns
 
@@ -76,7 +76,10 @@ def create_quality_summary(df: DataFrame) -> DataFrame:
     return counts.unpivot("__total", SUMMARY_FLAGS, "indicator", "record_count").select(
         "indicator",
         "record_count",
-        safe_divide(F.col("record_count"), F.col("__total")).alias("record_percentage"),
+        (
+            F.col("record_count")
+            / non_zero(F.col("__total"), "Cannot summarize quality without records.")
+        ).alias("record_percentage"),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from companylens.functions.numeric import safe_divide, total
+from companylens.functions.numeric import non_zero, safe_divide, total
 from companylens.operators.distributed import merge_single_rows
 from companylens.operators.filters import SCOPES, filter_analytical_scope, scope_condition
 from companylens.operators.quantiles import exact_medians, exact_quantiles
@@ -104,17 +104,21 @@ def create_scope_comparison(df: DataFrame) -> DataFrame:
 
 
 def calculate_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Available and missing values per column, in one pass."""
-    columns = list(dict.fromkeys(columns))
+    """Available and missing values per column, in one pass and the given order."""
     require_columns(df, columns, "coverage")
     counts = df.agg(
-        F.count(F.lit(1)).alias("__total"), *[F.count(F.col(c)).alias(c) for c in columns]
+        F.count(F.lit(1)).alias("__total"),
+        *[F.count(F.col(c)).alias(c) for c in dict.fromkeys(columns)],
     )
-    return counts.unpivot("__total", columns, "variable", "available_records").select(
+    rows = F.array(
+        *[F.struct(F.lit(c).alias("variable"), F.col(c).alias("available")) for c in columns]
+    )
+    total_rows = non_zero(F.col("__total"), "Cannot calculate coverage without records.")
+    return counts.select(total_rows.alias("__total"), F.inline(rows)).select(
         "variable",
-        "available_records",
-        (F.col("__total") - F.col("available_records")).alias("missing_records"),
-        safe_divide(F.col("available_records"), F.col("__total")).alias("coverage_rate"),
+        F.col("available").alias("available_records"),
+        (F.col("__total") - F.col("available")).alias("missing_records"),
+        (F.col("available") / F.col("__total")).alias("coverage_rate"),
     )
 
 
@@ -181,12 +185,16 @@ def column_percentiles(
 ) -> DataFrame:
     """Exact percentiles of one numeric column as ``percentile, value`` rows."""
     levels = [probability(p, "Percentile") for p in percentiles]
-    values = exact_quantiles(df, [column], levels)
-    pairs = F.arrays_zip(
-        F.array(*[F.lit(p) for p in levels]).alias("percentile"),
-        F.col("quantiles").alias(value_name),
-    )
-    return values.select(F.inline(pairs)).toDF("percentile", value_name)
+    # At most one row; the aggregate also notices when there is none.
+    found = exact_quantiles(df, [column], levels).agg(F.first("quantiles").alias("quantiles"))
+    checked = F.when(
+        F.col("quantiles").isNull(),
+        F.raise_error(F.lit(f"Cannot calculate percentiles without values of {column}.")).cast(
+            "array<double>"
+        ),
+    ).otherwise(F.col("quantiles"))
+    pairs = F.arrays_zip(F.array(*[F.lit(p) for p in levels]), checked)
+    return found.select(F.inline(pairs)).toDF("percentile", value_name)
 
 
 def calculate_revenue_percentiles(

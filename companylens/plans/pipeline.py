@@ -33,7 +33,7 @@ from companylens.sources.companies import load_source, normalize_source_name
 from companylens.sources.contracts import (
     ContractError,
     positive_int,
-    require_rows,
+    validate_source,
     validate_stages,
 )
 
@@ -113,12 +113,13 @@ def run_stages(
 ) -> PipelineResult:
     """Pipeline over an already loaded source.
 
-    The quality layer is written once to the shared folder; the clean and
-    financial layers are projections of it, and every table scans only the
-    columns it needs.
+    The typed source and the quality layer are written once to the shared
+    folder: checks and key counts then read single columns, the clean and
+    financial layers are projections of the quality layer, and every table
+    scans only the columns it needs.
     """
     positive_int(ranking_size, "ranking_size")
-    require_rows(source, "run the pipeline")
+    source = validate_source(materialize(source, "source"))
     quality = materialize(quality_layer(source), "quality")
     clean_width = len(SOURCE_COLUMNS) + len(CLEAN_COLUMNS)
     stages = {
@@ -140,4 +141,5 @@ def run_pipeline(
 ) -> PipelineResult:
     """Load a named source and run every stage."""
     name = normalize_source_name(source)
-    return run_stages(load_source(spark, name, path, file_format), name, ranking_size)
+    source_rows = load_source(spark, name, path, file_format, validate=False)
+    return run_stages(source_rows, name, ranking_size)

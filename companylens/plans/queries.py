@@ -45,11 +45,11 @@ SHOCK, INFLATION = -20.0, 10.0
 GRID = [(float(s), float(c)) for s in range(-40, 21, 10) for c in (0, 10, 20)]
 
 
-def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
-    """Doubles rounded, because sums depend on their order in the last digits."""
+def rounded(df: DataFrame) -> DataFrame:
+    """Amounts to whole euros, ratios to 8 digits: double sums depend on their order."""
     return df.select(
         *[
-            F.round(f.name, digits).alias(f.name)
+            F.round(f.name, 3 if f.name.endswith("_k_eur") else 8).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f.name)
             for f in df.schema
@@ -67,15 +67,24 @@ def clean_companies(spark, sf):
 
 
 def text_normalize_documents(spark, sf):
-    raw = F.col("text")
-    return documents(spark, sf).select(
+    """Every text operator over whole documents; each step feeds the next projection."""
+    spaced = documents(spark, sf).select(
+        "doc_id", text.normalize_whitespace(F.col("text")).alias("single_spaced")
+    )
+    staged = spaced.withColumns(
+        {
+            "plain": F.upper(text.remove_accents(F.col("single_spaced"))),
+            "geographic_text": F.upper(F.nullif("single_spaced", F.lit(""))),
+        }
+    ).withColumn("name_normalized", text.name_key(F.col("plain")))
+    return staged.select(
         "doc_id",
-        text.normalize_whitespace(raw).alias("single_spaced"),
-        text.normalize_company_name(raw).alias("name_normalized"),
-        text.extract_legal_status(raw).alias("legal_status"),
-        text.create_company_match_key(raw).alias("match_key"),
-        text.normalize_geographic_text(raw).alias("geographic_text"),
-        text.create_municipality_match_key(raw).alias("geographic_key"),
+        "single_spaced",
+        "name_normalized",
+        text.legal_status(F.col("plain")).alias("legal_status"),
+        text.strip_legal_markers(F.col("name_normalized")).alias("match_key"),
+        "geographic_text",
+        text.municipality_key(F.col("geographic_text")).alias("geographic_key"),
     )
 
 
@@ -86,11 +95,11 @@ def duplicate_groups(spark, sf):
 def duplicate_documents(spark, sf):
     """Whole document texts as match keys; repeated texts found and flagged.
 
-    Runs the path for key tables that are too large to broadcast.
+    Texts are long, so their digests are shuffled and compared. Runs the path
+    for key tables that are too large to broadcast.
     """
-    keyed = documents(spark, sf).select(
-        "doc_id", text.create_company_match_key(F.col("text")).alias("match_key")
-    )
+    key = text.create_company_match_key(F.col("text"))
+    keyed = documents(spark, sf).select("doc_id", F.sha2(key, 256).alias("match_key"))
     flagged = clean.add_duplicate_flags(keyed, "match_key", "doc_id", broadcast_bytes=0)
     return flagged.select("doc_id", "potential_duplicate", "potential_duplicate_count")
 
@@ -381,7 +390,7 @@ def percentile_benchmark(spark, sf):
 
 
 def positioning(spark, sf):
-    return rounded(presentation.positioning(company_layer(spark, sf)))
+    return presentation.positioning(company_layer(spark, sf))
 
 
 def treemap_rollup(spark, sf):

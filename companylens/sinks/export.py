@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -161,15 +162,17 @@ def check_publication(
     allow_private_public_export: bool = False,
 ) -> str:
     """Refuse to write private results below the public report tree."""
-    target = posixpath.normpath(directory)
+    def location(path: str) -> str:
+        return posixpath.normpath(urlparse(path).path)
+
     if source_name == PRIVATE_SOURCE and public_root and not allow_private_public_export:
-        root = posixpath.normpath(public_root)
-        if target == root or target.startswith(root + "/"):
+        target, root = location(directory), location(public_root)
+        if target == root or target.startswith(root.rstrip("/") + "/"):
             raise ContractError(
                 "Private results cannot be exported below the public report tree "
                 "unless allow_private_public_export=True."
             )
-    return target
+    return directory.rstrip("/")
 
 
 @dataclass(frozen=True)

@@ -29,7 +29,7 @@ def div(a: str, b: str) -> str:
 
 
 def rounded(expression: str, name: str) -> str:
-    return f"round({expression}, 8) as {name}"
+    return f"round({expression}, {3 if name.endswith('_k_eur') else 8}) as {name}"
 
 
 REV, REV0 = "operating_revenue_latest_k_eur", "operating_revenue_previous_k_eur"
@@ -449,7 +449,7 @@ ORACLES = {
     ),
     "stress_comparison": over(
         f"""select 'revenue' as measure, {rounded(f'sum({REV})', 'baseline_k_eur')}, {rounded('sum(stressed_revenue_k_eur)', 'stressed_k_eur')} from s
-        union all select 'ebitda', round(sum({EB}), 8), round(sum(stressed_ebitda_k_eur), 8) from s""",
+        union all select 'ebitda', round(sum({EB}), 3), round(sum(stressed_ebitda_k_eur), 3) from s""",
         stressed(SHOCK, INFLATION),
     ),
     "stress_grid": over(
@@ -477,8 +477,8 @@ paired as (select * from q, scenarios)"""
         50.0::double as benchmark_pct from q"""
     ),
     "positioning": over(
-        f"""select record_order, company_name, municipality, {', '.join(rounded(c, c) for c in (REV, EB, 'ebitda_margin'))}, {EMP},
-        {rounded('least(0.5, greatest(-0.5, ebitda_margin)) * 100', 'display_margin')},
+        f"""select record_order, company_name, municipality, {REV}, {EB}, ebitda_margin, {EMP},
+        least(0.5, greatest(-0.5, ebitda_margin)) * 100 as display_margin,
         least(500, greatest(5, coalesce({EMP}, 10)))::bigint as size_scaled,
         case when has_business_risk_signal then 'Business Risk Signal' when has_data_quality_issue then 'Data Quality Review'
              else 'Prime Eligible' end as cohort
