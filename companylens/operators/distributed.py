@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,8 +73,10 @@ def _row_bytes(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, parts).cast("long")
 
 
-def _digest(keys) -> Column:
-    return F.sha2(F.to_json(F.struct(*keys)), 256)
+def _digest(keys: Iterable[str]) -> Column:
+    """Digest of key values, whatever the key columns are called."""
+    named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    return F.sha2(F.to_json(F.struct(*named)), 256)
 
 
 def join_by_key(
