@@ -49,13 +49,18 @@ def nan_to_null(column: Column) -> Column:
 
 
 def general_format(column: Column, digits: int = 10) -> Column:
-    """Shortest decimal text with ``digits`` significant digits."""
+    """Shortest decimal text with ``digits`` significant digits, like ``%.10g``."""
     scientific = F.format_string(f"%.{digits - 1}e", column)
-    exponent = F.regexp_extract(scientific, r"e([+-]\d+)$", 1).cast("int")
-    plain = scientific.cast("double").cast(f"decimal(38,{digits + 8})").cast("string")
-    plain = F.regexp_replace(plain, r"(\.\d*?)0+$", "$1")
-    trimmed = F.regexp_replace(scientific, r"\.?0+e", "e")
-    text = F.when(
-        (exponent < -4) | (exponent >= digits), trimmed
-    ).otherwise(F.regexp_replace(plain, r"\.$", ""))
-    return F.when(column == 0, "0").when(column.isNotNull(), text)
+    rounded = scientific.cast("double")
+    size = F.abs(rounded)
+    plain = rounded.cast(f"decimal(38,{digits + 8})").cast("string")
+    plain = F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
+    return (
+        F.when(column.isNull(), F.lit(None).cast("string"))
+        .when(column == 0, "0")
+        .when(
+            (size < 1e-4) | (size >= 10.0**digits),
+            F.regexp_replace(scientific, r"\.?0+e", "e"),
+        )
+        .otherwise(plain)
+    )

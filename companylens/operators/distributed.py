@@ -3,6 +3,7 @@
 * ``materialize``      written cut point in the shared folder;
 * ``join_by_key``      attach a one-row-per-key table to many rows;
 * ``running_total``    global running sum without a single-task window;
+* ``spread_small_input``  use all cores on input with few splits;
 * ``merge_single_rows``  put one-row results side by side without a join.
 """
 
@@ -186,6 +187,15 @@ def running_total(
     )
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy row-wise work on input with few splits.
+
+    Large inputs have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def merge_single_rows(*frames: DataFrame) -> DataFrame:
     """Columns of several one-row frames in one row."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from companylens.functions import text
 from companylens.functions.numeric import total
-from companylens.operators.distributed import join_by_key, running_total
+from companylens.operators.distributed import join_by_key, materialize, running_total
 from companylens.operators.summaries import summarize_places
 from companylens.schema import EBITDA, EMPLOYEES, MAPPING_COLUMNS, REVENUE
 from companylens.sources.contracts import (
@@ -94,6 +94,7 @@ def apply_mapping(df: DataFrame, mapping: DataFrame) -> DataFrame:
     repeated. The original label is kept; labels outside the mapping get null.
     """
     require_columns(mapping, MAPPING_COLUMNS, "applying a mapping")
+    mapping = materialize(mapping.select(*MAPPING_COLUMNS), "mapping")
     enforce(mapping_report(mapping), "the municipality mapping")
     label = text.normalize_geographic_text(F.col("municipality"))
     # Heaviest labels first, should the mapping be too large to broadcast.

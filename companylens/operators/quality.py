@@ -83,6 +83,22 @@ def create_quality_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Record counts of several category columns, in one pass."""
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("category"))
+            for c in columns
+        ]
+    )
+    return (
+        df.select(F.inline(pairs))
+        .groupBy("variable", "category")
+        .agg(F.count(F.lit(1)).alias("record_count"))
+        .orderBy("variable", F.desc("record_count"), F.asc_nulls_last("category"))
+    )
+
+
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Record count per category, most frequent first. Missing is a category."""
     return (

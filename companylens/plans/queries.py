@@ -20,7 +20,7 @@ from companylens.operators import (
     stress,
     summaries,
 )
-from companylens.operators.distributed import fresh_path
+from companylens.operators.distributed import fresh_path, materialize, spread_small_input
 from companylens.operators.quantiles import exact_quantiles
 from companylens.plans.company_view import company_layer, source_layer
 from companylens.plans.pipeline import PipelineResult, create_analytical_tables
@@ -58,7 +58,8 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread_small_input(texts)
 
 
 def clean_companies(spark, sf):
@@ -99,7 +100,9 @@ def duplicate_documents(spark, sf):
     for key tables that are too large to broadcast.
     """
     key = text.create_company_match_key(F.col("text"))
-    keyed = documents(spark, sf).select("doc_id", F.sha2(key, 256).alias("match_key"))
+    keyed = materialize(
+        documents(spark, sf).select("doc_id", F.sha2(key, 256).alias("match_key")), "document-keys"
+    )
     flagged = clean.add_duplicate_flags(keyed, "match_key", "doc_id", broadcast_bytes=0)
     return flagged.select("doc_id", "potential_duplicate", "potential_duplicate_count")
 
@@ -117,23 +120,13 @@ def quality_summary(spark, sf):
 
 
 def category_distribution(spark, sf):
-    layer = company_layer(spark, sf)
     columns = [
         "data_quality_status",
         "analytical_eligibility",
         "legal_status",
         "business_risk_signal_count",
     ]
-    frames = [
-        quality.distribution(layer, c).select(
-            F.lit(c).alias("variable"), F.col(c).cast("string").alias("category"), "record_count"
-        )
-        for c in columns
-    ]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    return quality.distributions(company_layer(spark, sf), columns)
 
 
 def contract_report(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from urllib.parse import urlparse
@@ -46,23 +47,29 @@ def write_table_csv(
 ) -> str:
     """Write a table as UTF-8 CSV with header; an empty table is refused.
 
-    Small tables become one file, in their order. Company-level tables are
-    written by all tasks, in files of bounded size.
+    Small tables are computed once and become one file, in their order.
+    Company-level tables are written by all tasks, in files of bounded size.
     """
-    text = require_rows(csv_text(df), f"export {path}")
-    writer = (
-        (text.coalesce(1) if small else text)
-        .write.mode("overwrite" if overwrite else "errorifexists")
-        .option("header", True)
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("lineSep", "\n")
-    )
-    if not small:
-        writer = writer.option("maxRecordsPerFile", ROWS_PER_FILE)
-    writer.csv(path)
+    text = csv_text(df)
+    if small:
+        text = text.coalesce(1).persist()
+    try:
+        writer = (
+            require_rows(text, f"export {path}")
+            .write.mode("overwrite" if overwrite else "errorifexists")
+            .option("header", True)
+            .option("escape", '"')
+            .option("emptyValue", "")
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .option("lineSep", "\n")
+        )
+        if not small:
+            writer = writer.option("maxRecordsPerFile", ROWS_PER_FILE)
+        writer.csv(path)
+    finally:
+        if small:
+            text.unpersist()
     return path
 
 
@@ -226,10 +233,14 @@ def export_result(
     if include_company_level is None:
         include_company_level = result.source_name == PUBLIC_SOURCE
 
-    artifacts = []
-    for name in TABLE_NAMES:
-        write_table_csv(result.get_table(name), posixpath.join(target, name))
-        artifacts.append(name)
+    # The tables are independent small jobs: submit a few at a time.
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        written = pool.map(
+            lambda name: write_table_csv(result.get_table(name), posixpath.join(target, name)),
+            TABLE_NAMES,
+        )
+        list(written)
+    artifacts = list(TABLE_NAMES)
     if include_company_level:
         write_table_csv(result.quality, posixpath.join(target, COMPANY_LEVEL), small=False)
         artifacts.append(COMPANY_LEVEL)
