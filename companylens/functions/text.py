@@ -20,12 +20,13 @@ WHITESPACE = r"(?U)[\s\x1c-\x1f]{2,}|[\s\x1c-\x1f&&[^ ]]"
 NON_ASCII = r"[^\x00-\x7F]"
 HANGUL = r"[\x{AC00}-\x{D7A3}]"
 
-# Adverse markers, tested in this order on accent-free upper text.
-LEGAL_MARKERS = {
-    "in_liquidation": r"(?U)\bEN\s+LIQUIDACION\b",
-    "in_dissolution": r"(?U)\bEN\s+DISOLUCION\b",
-    "extinct": r"(?U)\bEXTINGUID[AO]S?\b",
-}
+# Adverse markers, tested in this order on accent-free upper text;
+# status, a word that every match contains, pattern.
+LEGAL_MARKERS = [
+    ("in_liquidation", "LIQUIDACION", r"(?U)\bEN\s+LIQUIDACION\b"),
+    ("in_dissolution", "DISOLUCION", r"(?U)\bEN\s+DISOLUCION\b"),
+    ("extinct", "EXTINGUID", r"(?U)\bEXTINGUID[AO]S?\b"),
+]
 # The same markers, in the order they are cut from match keys.
 CUT_MARKERS = [
     r"\bEXTINGUID[AO]S?\b",
@@ -110,7 +111,8 @@ def remove_accents(value: Column) -> Column:
 
 
 def _letters_and_digits(value: Column) -> Column:
-    return F.trim(F.regexp_replace(value, "[^A-Z0-9]+", " "))
+    """Runs of anything else become one space; single spaces are left alone."""
+    return F.trim(F.regexp_replace(value, "[^A-Z0-9]{2,}|[^A-Z0-9 ]", " "))
 
 
 def normalize_company_name(value: Column) -> Column:
@@ -131,8 +133,8 @@ def name_key(plain: Column) -> Column:
 def legal_status(plain: Column) -> Column:
     """First adverse marker in ``plain_upper`` text; null gives ``unknown``."""
     status = F.when(plain.isNull(), "unknown")
-    for label, pattern in LEGAL_MARKERS.items():
-        status = status.when(plain.rlike(pattern), label)
+    for label, word, pattern in LEGAL_MARKERS:
+        status = status.when(plain.contains(word) & plain.rlike(pattern), label)
     return status.otherwise("no_adverse_marker")
 
 
@@ -145,11 +147,15 @@ def strip_legal_markers(key: Column) -> Column:
     """Normalised name without adverse markers.
 
     The markers are cut one after the other: a cut can join words into the
-    next marker.
+    next marker. Names without any marker word stay as they are.
     """
+    marked = F.lit(False)
+    for _, word, _ in LEGAL_MARKERS:
+        marked = marked | key.contains(word)
+    cut = key
     for pattern in CUT_MARKERS:
-        key = F.regexp_replace(key, pattern, " ")
-    return F.trim(F.regexp_replace(key, r"\s+", " "))
+        cut = F.regexp_replace(cut, pattern, " ")
+    return F.when(marked, F.trim(F.regexp_replace(cut, " {2,}", " "))).otherwise(key)
 
 
 def create_company_match_key(value: Column) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from companylens.operators.distributed import join_by_key
+from companylens.operators.distributed import join_by_key, materialize
 
 # Relative rank error of the sketch is 1 / SKETCH_ACCURACY (its documented
 # bound); brackets reach twice as far on each side.
@@ -69,7 +69,7 @@ def exact_quantiles(
     if df.count() <= small_frame:
         return _small_frame_quantiles(df, metrics, probabilities, group_by)
     keys = group_by + ["metric"]
-    margin = 2.0 / accuracy
+    margin, keep = 2.0 / accuracy, SMALL_GROUP * accuracy
 
     extra = [c for c in (spread_by or []) if c not in group_by]
     values = df.select(
@@ -87,45 +87,48 @@ def exact_quantiles(
         ),
     ).where(F.col("value").isNotNull())
 
-    reach = [
-        min(1.0, max(0.0, p + side)) for p in probabilities for side in (-margin, margin)
-    ]
-    everything = F.array(*[F.lit(end) for end in (-float("inf"), float("inf"))] * len(probabilities))
-    brackets = (
-        values.groupBy(*keys)
-        .agg(
+    def sketched(rows: DataFrame) -> DataFrame:
+        reach = [
+            min(1.0, max(0.0, p + side)) for p in probabilities for side in (-margin, margin)
+        ]
+        return rows.groupBy(*keys).agg(
             F.count("value").alias("weight"),
-            F.percentile_approx("value", reach, accuracy).alias("sketched"),
-        )
-        .select(
-            *keys,
-            "weight",
-            F.when(F.col("weight") <= SMALL_GROUP * accuracy, everything)
-            .otherwise(F.col("sketched"))
-            .alias("bracket"),
+            F.percentile_approx("value", reach, accuracy).alias("bracket"),
         )
-    )
+
     if few_groups or not group_by:
-        few = brackets.select(
-            *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], "bracket"
+        few = sketched(values).select(
+            *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)],
+            F.when(F.col("weight") > keep, F.col("bracket")).alias("bracket"),
         )
         on = [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)]
         joined = values.join(F.broadcast(few), on).select(*keys, "value", "bracket")
     else:
-        joined = join_by_key(
-            values, brackets, keys, "weight", spread_by=keys + extra + ["value"]
-        )
+        # Only large groups are sketched; there are at most rows / keep of them.
+        spread = keys + extra + ["value"]
+        sizes = values.groupBy(*keys).agg(F.count("value").alias("weight"))
+        large = materialize(sizes.where(F.col("weight") > keep), "large-groups")
+        if large.isEmpty():
+            joined = values.withColumn("bracket", F.lit(None).cast("array<double>"))
+        else:
+            marked = join_by_key(
+                values, large.withColumn("is_large", F.lit(True)), keys, "weight", spread
+            )
+            brackets = sketched(marked.where("is_large"))
+            joined = join_by_key(values, brackets, keys, "weight", spread)
 
-    # Zone = number of bracket ends at or below the value; odd-sided zones that
-    # fall inside at least one bracket keep single values.
-    zone, inside = F.lit(0), F.lit(False)
+    # Zone = number of bracket ends passed by the value; values inside a bracket,
+    # and all values of groups without brackets, are kept one by one.
+    zone, inside = F.lit(0), F.col("bracket").isNull()
     for i in range(len(probabilities)):
         low, high = F.col("bracket")[2 * i], F.col("bracket")[2 * i + 1]
         zone = zone + (F.col("value") >= low).cast("int") + (F.col("value") > high).cast("int")
         inside = inside | F.col("value").between(low, high)
     counted = (
         joined.select(
-            *keys, zone.alias("zone"), F.when(inside, F.col("value")).alias("value")
+            *keys,
+            F.coalesce(zone, F.lit(0)).alias("zone"),
+            F.when(inside, F.col("value")).alias("value"),
         )
         .groupBy(*keys, "zone", "value")
         .agg(F.count(F.lit(1)).alias("n"))
