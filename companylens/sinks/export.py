@@ -9,11 +9,16 @@ from datetime import datetime, timezone
 from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from companylens.functions.numeric import general_format
+from companylens.functions.numeric import (
+    decimal_text,
+    general_format,
+    is_decimal_tie,
+    scientific_text,
+)
 from companylens.plans.pipeline import PipelineResult, run_counters, run_pipeline
 from companylens.schema import SOURCE_COLUMNS, TABLE_NAMES
 from companylens.sources.contracts import ContractError, require_rows
@@ -30,16 +35,28 @@ ROWS_PER_FILE = 1_000_000
 
 def csv_text(df: DataFrame) -> DataFrame:
     """Every column as export text: ten significant digits, ``True``/``False``."""
+    numbers = [
+        c.name for c in df.schema if isinstance(c.dataType, (T.DoubleType, T.FloatType))
+    ]
+    parts = df.withColumns({c: F.col(c).cast("double") for c in numbers}).select(
+        "*",
+        *[scientific_text(F.col(c)).alias(f"__scientific_{c}") for c in numbers],
+        *[decimal_text(F.col(c)).alias(f"__stored_{c}") for c in numbers],
+    )
+    parts = parts.select(
+        "*", *[is_decimal_tie(F.col(f"__stored_{c}")).alias(f"__tie_{c}") for c in numbers]
+    )
 
-    def render(column: T.StructField):
+    def render(column: T.StructField) -> Column:
         value = F.col(column.name)
-        if isinstance(column.dataType, (T.DoubleType, T.FloatType)):
-            return general_format(value.cast("double"))
+        if column.name in numbers:
+            prepared = [F.col(f"__{p}_{column.name}") for p in ("scientific", "stored", "tie")]
+            return general_format(value, *prepared)
         if isinstance(column.dataType, T.BooleanType):
             return F.when(value, "True").when(~value, "False")
         return value.cast("string")
 
-    return df.select(*[render(c).alias(c.name) for c in df.schema])
+    return parts.select(*[render(c).alias(c.name) for c in df.schema])
 
 
 def write_table_csv(

@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -6,7 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from companylens.functions import numeric, text
+from companylens.functions import text
+from companylens.sinks.export import csv_text
 
 
 def evaluate(spark, expression, values, kind="string"):
@@ -90,10 +92,19 @@ def test_labels(spark):
     ]
 
 
-def test_general_format(spark):
+def test_export_digits(spark):
+    """Same text as Python's ``%.10g``, ties on the eleventh digit included."""
+    random.seed(11)
     values = [
         1.0, 0.0, 100.0, 30615.704251234, 1e9, 1.23456789012e10, 9999999999.9, 1e-4,
-        0.00012345678901234, 1.5e-5, -0.2901926692999, 1 / 3, -2e5 / 3, 1200.0,
+        0.00012345678901234, 1.5e-5, -0.2901926692999, 1 / 3, -2e5 / 3, 1200.0, 17609.393255,
+        9999999999.5, 0.00010000000005, 1e300,
     ]
-    assert evaluate(spark, numeric.general_format, values, "double") == ["%.10g" % v for v in values]
-    assert evaluate(spark, numeric.general_format, [None], "double") == [None]
+    for _ in range(3000):
+        digits = random.randrange(10**9, 10**10) * 10 + 5
+        values.append(float(f"{random.choice(['', '-'])}{digits}e-{random.randrange(1, 15)}"))
+        values.append(random.randrange(2**34) / 2 ** random.randrange(1, 12))
+        values.append(random.gauss(0, 1) * 10 ** random.randrange(-6, 12))
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    texts = [r[0] for r in csv_text(df).collect()]
+    assert texts == ["%.10g" % v for v in values] + [None]
