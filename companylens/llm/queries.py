@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from companylens.llm.packing import op10_best_fit_packing
 from companylens.llm.records import op5_token_records
 
 QUERIES = {
     "op5_token_records": op5_token_records,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
