@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from companylens.llm.minhash import op9_minhash_near_dedup
 from companylens.llm.packing import op10_best_fit_packing
 from companylens.llm.records import op5_token_records
 
 QUERIES = {
     "op5_token_records": op5_token_records,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
