@@ -5,8 +5,10 @@ from __future__ import annotations
 from companylens.llm.minhash import op9_minhash_near_dedup
 from companylens.llm.packing import op10_best_fit_packing
 from companylens.llm.records import op5_token_records
+from companylens.llm.repeats import op1_suffix_array_dedup
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op5_token_records": op5_token_records,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
