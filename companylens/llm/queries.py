@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from companylens.llm.langmodel import op4_bloom_lm_scores
 from companylens.llm.minhash import op9_minhash_near_dedup
 from companylens.llm.packing import op10_best_fit_packing
 from companylens.llm.records import op5_token_records
@@ -9,6 +10,7 @@ from companylens.llm.repeats import op1_suffix_array_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op4_bloom_lm_scores": op4_bloom_lm_scores,
     "op5_token_records": op5_token_records,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from companylens.llm.kernels import blocks, prefix_sums, ragged, span_hashes, text_bytes
+from companylens.llm.rows import with_rows
 from companylens.operators.distributed import materialize
 
 LENGTH = 200
@@ -318,15 +319,6 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, earlier_only: bool =
     )
 
 
-def _with_rows(docs: DataFrame) -> DataFrame:
-    """Add ``row``: the doc_id where it is a key, else a stored number."""
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
-    bad = ids.where("n > 1 or doc_id is null").limit(1).count()
-    if bad:
-        return materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    return docs.withColumn("row", F.col("doc_id").cast("long"))
-
-
 def _removed_spans(ranges, n_bytes: int, length: int) -> list[tuple[int, int]]:
     """Maximal byte spans covered by windows that start in the ranges."""
     spans: list[tuple[int, int]] = []
@@ -435,7 +427,7 @@ def remove_repeats(
     empty.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
-    docs = _with_rows(docs.drop(*added, "row"))
+    docs = with_rows(docs.drop(*added, "row"))
     results = cut_repeats(docs, length, keep_first, whole_characters)
     others = [c for c in docs.columns if c != "row"]
     return docs.join(results.select("row", *added), "row").select(*others, *added)
@@ -443,6 +435,6 @@ def remove_repeats(
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every string of 200 bytes that stands twice goes, all its copies alike."""
-    docs = _with_rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = with_rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     found = cut_repeats(docs, keep_first=False, whole_characters=False, with_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
