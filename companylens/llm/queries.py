@@ -6,6 +6,7 @@ from companylens.llm.gam import op8_additive_quality
 from companylens.llm.langmodel import op4_bloom_lm_scores
 from companylens.llm.minhash import op9_minhash_near_dedup
 from companylens.llm.packing import op10_best_fit_packing
+from companylens.llm.quality_rules import op7_divergence_quality
 from companylens.llm.records import op5_token_records
 from companylens.llm.repeats import op1_suffix_array_dedup
 from companylens.llm.toxicity import op2_factorization_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_factorization_toxicity": op2_factorization_toxicity,
     "op4_bloom_lm_scores": op4_bloom_lm_scores,
     "op5_token_records": op5_token_records,
+    "op7_divergence_quality": op7_divergence_quality,
     "op8_additive_quality": op8_additive_quality,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
