@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from companylens.llm.decontaminate import op6_template_decontamination
 from companylens.llm.gam import op8_additive_quality
 from companylens.llm.langmodel import op4_bloom_lm_scores
 from companylens.llm.minhash import op9_minhash_near_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_factorization_toxicity": op2_factorization_toxicity,
     "op4_bloom_lm_scores": op4_bloom_lm_scores,
     "op5_token_records": op5_token_records,
+    "op6_template_decontamination": op6_template_decontamination,
     "op7_divergence_quality": op7_divergence_quality,
     "op8_additive_quality": op8_additive_quality,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
