@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from companylens.llm.quality_rules import bound
-from companylens.llm.rows import with_rows
+from companylens.llm.rows import ROW, with_rows
 from companylens.operators.distributed import materialize
 
 WORDS = 5
@@ -182,8 +182,9 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Other columns are ignored. Empty tables give an empty result.
     """
     docs = with_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    docs = docs.withColumnRenamed(ROW, "row")
     items = with_rows(benchmark.select("item_id", F.col("text").cast("string").alias("text")), "item_id")
-    items = items.withColumnRenamed("row", "item")
+    items = items.withColumnRenamed(ROW, "item")
     found = find_contamination(docs.select("row", "text"), items.select("item", "text"))
     return (
         found.join(docs.select("row", "doc_id"), "row")
@@ -194,12 +195,14 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` without any benchmark item, with all their columns."""
-    keyed = with_rows(docs.drop("row"))
-    items = with_rows(benchmark.select("item_id", "text"), "item_id").withColumnRenamed("row", "item")
+    keyed = with_rows(docs)
+    items = with_rows(benchmark.select("item_id", "text"), "item_id").withColumnRenamed(ROW, "item")
     found = find_contamination(
-        keyed.select("row", F.col("text").cast("string").alias("text")), items.select("item", "text")
+        keyed.select(F.col(ROW).alias("row"), F.col("text").cast("string").alias("text")),
+        items.select("item", "text"),
     )
-    return keyed.join(found.select("row").distinct(), "row", "left_anti").select(docs.columns)
+    gone = found.select(F.col("row").alias(ROW)).distinct()
+    return keyed.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

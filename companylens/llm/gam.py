@@ -248,6 +248,23 @@ def classify_quality(
     )
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held_out_fold: int = 1) -> DataFrame:
+    """Rows of ``docs`` that the classifier doesn't reject, with all their columns.
+
+    Rows are judged where they are read, so neither ids nor order matter.
+    """
+    model = train(docs, labels, label, ~in_fold(F.col("doc_id"), folds, held_out_fold))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for low, high, features in _features_of(batch):
+                yield batch.slice(low, high - low).filter(pa.array(own.margins(features) >= 0))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return classify_quality(read("documents"), read("labels"))

@@ -39,7 +39,7 @@ from companylens.llm.kernels import (
     text_bytes,
     word_spans,
 )
-from companylens.llm.rows import in_fold, with_rows
+from companylens.llm.rows import ROW, in_fold, with_rows
 from companylens.operators.distributed import materialize
 
 FILTER_BYTES = 64 << 20
@@ -425,6 +425,7 @@ def score_corpus(docs: DataFrame, folds: int = 7, held_out_fold: int = 2) -> Dat
     table, or one without training texts, scores by a model without counts.
     """
     docs = with_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    docs = docs.withColumnRenamed(ROW, "row")
     held_out = in_fold(F.col("doc_id"), folds, held_out_fold)
     model, words = train(docs.where(~held_out))
     scores = score(docs, model, words)

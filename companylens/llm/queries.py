@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from companylens.llm.decontaminate import op6_template_decontamination
 from companylens.llm.gam import op8_additive_quality
+from companylens.llm.html_text import op3_template_extraction
 from companylens.llm.langmodel import op4_bloom_lm_scores
 from companylens.llm.minhash import op9_minhash_near_dedup
 from companylens.llm.packing import op10_best_fit_packing
@@ -15,6 +16,7 @@ from companylens.llm.toxicity import op2_factorization_toxicity
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_factorization_toxicity": op2_factorization_toxicity,
+    "op3_template_extraction": op3_template_extraction,
     "op4_bloom_lm_scores": op4_bloom_lm_scores,
     "op5_token_records": op5_token_records,
     "op6_template_decontamination": op6_template_decontamination,

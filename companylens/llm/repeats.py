@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from companylens.llm.kernels import blocks, prefix_sums, ragged, span_hashes, text_bytes
-from companylens.llm.rows import with_rows
+from companylens.llm.rows import ROW, with_rows
 from companylens.operators.distributed import materialize
 
 LENGTH = 200
@@ -369,9 +369,9 @@ def cut_repeats(
     whole_characters: bool = True,
     with_text: bool = True,
 ) -> DataFrame:
-    """CUT_SCHEMA for every row of ``docs``, which has row, doc_id and text."""
+    """CUT_SCHEMA for every row of ``docs``, which has ROW, doc_id and text."""
     texts = docs.select(
-        "row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+        F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     ranges = repeated_windows(texts.select("row", "text"), length, earlier_only=keep_first)
     per_row = ranges.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
@@ -421,16 +421,32 @@ def remove_repeats(
                   broken characters; ``kept_sha256`` is over the exact bytes either way.
 
     Added: n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, spans,
-    kept_text. Columns of ``docs`` with these names, or named row, are replaced. A null
-    text counts as empty in the numbers and stays null in kept_text. Rows with null or
-    repeated doc_id are rows of their own, and copies of each other. An empty table stays
-    empty.
+    kept_text. Columns of ``docs`` with these names are replaced. A null text counts as
+    empty in the numbers and stays null in kept_text. Rows with null or repeated doc_id
+    are rows of their own, and copies of each other. An empty table stays empty.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
-    docs = with_rows(docs.drop(*added, "row"))
-    results = cut_repeats(docs, length, keep_first, whole_characters)
-    others = [c for c in docs.columns if c != "row"]
-    return docs.join(results.select("row", *added), "row").select(*others, *added)
+    docs = with_rows(docs.drop(*added))
+    results = cut_repeats(docs, length, keep_first, whole_characters).withColumnRenamed("row", ROW)
+    return docs.join(results.select(ROW, *added), ROW).drop(ROW)
+
+
+def cut_later_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with texts that lack every copied passage but its first; same columns.
+
+    ``n_chars``, if there is such a column, is set to the new length where a text changed.
+    No row goes, not even if nothing of its text is left.
+    """
+    keyed = with_rows(docs)
+    results = cut_repeats(keyed, length).select(
+        F.col("row").alias(ROW), F.col("n_removed").alias("__removed"), F.col("kept_text").alias("__kept")
+    )
+    cut = keyed.join(results, ROW).withColumn("text", F.col("__kept"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed = F.when(F.col("__removed") > 0, F.length("text").cast(kind))
+        cut = cut.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
+    return cut.select(docs.columns)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

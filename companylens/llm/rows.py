@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from companylens.operators.distributed import materialize
 
 
+ROW = "__row"
+
+
 def with_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Add ``row``: the key where it is one, else a stored number of the row.
+    """Add the column ROW: the key where it is one, else a stored number of the row.
 
     A key with nulls or repeats can't address rows; then the table is stored once with
     numbers, so that a repeated task sees the same ones.
     """
     bad = docs.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull())
     if bad.limit(1).count():
-        return materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    return docs.withColumn("row", F.col(key).cast("long"))
+        return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    return docs.withColumn(ROW, F.col(key).cast("long"))
 
 
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
