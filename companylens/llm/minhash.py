@@ -12,8 +12,11 @@ threshold so that a pair at the threshold is missed with a chance below ``MISS``
 3. A bucket links each member to its smallest member: rows, not pairs. Each text is first
    compared with the one such centre that it shares most tables with; most groups are
    connected by that.
-4. Only where a bucket still holds several components are pairs between members of
-   different components made, estimated from the minhashes, and confirmed.
+4. Only buckets that still hold several components are left. Texts that such buckets connect
+   form clusters. A cluster is compared in blocks of ``BLOCK`` texts: a task gets two blocks and
+   finds all their common counts by products of incidence matrices. It returns which
+   components it found linked, never pairs. So no link is lost, a task's memory is bounded,
+   and what is written stays in proportion to the texts.
 
 Every link is confirmed on full sets of shingles of the whole texts.
 """
@@ -30,14 +33,15 @@ from pyspark.sql import functions as F
 
 from companylens.llm.components import connected_components
 from companylens.llm.kernels import blocks, mix, text_bytes
+from companylens.llm.rows import ROW, with_rows
 from companylens.llm.shingles import WORDS, common_counts, shingle_sets
 from companylens.operators.distributed import materialize
 
 HALF = 3
 MISS = 1e-6
-# Pairs whose share of equal minhashes is so many standard deviations below the threshold
-# are no longer compared; that loses one in about 100,000 of those just at the threshold.
-DEVIATIONS = 4.3
+# Texts in a block of a cluster, and cells of an incidence matrix, that a task holds at once.
+BLOCK = 512
+MATRIX_CELLS = 8 << 20
 
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, digest_a long, digest_b long, minhash array<int>"
 
@@ -162,6 +166,75 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int = WORDS
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def compare_clusters(members: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """Links (a, b) between components of the members (cluster, component, doc_id, text).
+
+    All members of a cluster are compared, in pairs of blocks.
+    """
+
+    def compare(group: pa.Table) -> pa.Table:
+        data, offsets = text_bytes(group.column("text"))
+        component = group.column("component").to_numpy()
+        n = len(component)
+        parts = []
+        for low, high in blocks(offsets):
+            part = data[offsets[low] : offsets[high]]
+            rows, values = shingle_sets(part, offsets[low : high + 1] - offsets[low], words)
+            parts.append((rows + low, values))
+        rows = np.concatenate([x[0] for x in parts])
+        size = np.bincount(rows, minlength=n)
+        _, column, times = np.unique(
+            np.concatenate([x[1] for x in parts]), return_inverse=True, return_counts=True
+        )
+        # Only shingles of two texts or more count; columns are numbered anew without the others.
+        several = times > 1
+        number = np.cumsum(several) - 1
+        keep = several[column]
+        rows, column = rows[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        common = np.zeros((n, n), np.float32)
+        width = max(1, MATRIX_CELLS // n)
+        for begin in range(0, int(several.sum()), width):
+            at = slice(*np.searchsorted(column, (begin, begin + width)))
+            matrix = np.zeros((n, width), np.float32)
+            matrix[rows[at], column[at] - begin] = 1
+            common += matrix @ matrix.T
+        union = size[:, None] + size[None, :] - common
+        linked = (100 * common >= percent * union) & (common > 0)
+        label = component.copy()
+        while True:
+            least = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1)
+            least = np.minimum(least, label)
+            # Texts of one component move together.
+            names, place = np.unique(component, return_inverse=True)
+            best = np.full(len(names), np.iinfo(np.int64).max)
+            np.minimum.at(best, place, least)
+            if (best[place] == label).all():
+                break
+            label = best[place]
+        moved = label < component
+        pairs = np.unique(np.column_stack((component[moved], label[moved])), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    spread = (
+        members.join(sizes, "cluster")
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select(
+            "cluster",
+            F.least("block", "other").alias("one"),
+            F.greatest("block", "other").alias("two"),
+            "component",
+            "text",
+        )
+    )
+    return spread.groupBy("cluster", "one", "two").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
@@ -200,7 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
 
     # What is left: members of one bucket in different components.
     labelled = materialize(
-        buckets.select("bucket", "doc_id", "n_shingles")
+        buckets.select("bucket", "doc_id", "center")
         .join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id")),
         "labelled",
@@ -211,42 +284,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
         .where("low < high")
         .select("bucket")
     )
-    open_rows = labelled.join(mixed, "bucket")
-    one, two = open_rows.alias("one"), open_rows.alias("two")
-    pairs = (
-        one.join(
-            two,
-            (F.col("one.bucket") == F.col("two.bucket"))
-            & (F.col("one.component") < F.col("two.component"))
-            & _sizes_allow(F.col("one.n_shingles"), F.col("two.n_shingles"), percent),
-        )
-        .select(
-            F.least("one.doc_id", "two.doc_id").alias("a"),
-            F.greatest("one.doc_id", "two.doc_id").alias("b"),
-        )
-        .distinct()
-    )
-    minhash = texts.select("doc_id", "minhash")
-    share = percent / 100
-    hashes = 2 * pieces * HALF
-    needed = math.floor(hashes * share - DEVIATIONS * math.sqrt(hashes * share * (1 - share)))
-    equal = F.aggregate(
-        F.zip_with("left", "right", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x
-    )
-    likely = (
-        pairs.join(minhash.select(F.col("doc_id").alias("a"), F.col("minhash").alias("left")), "a")
-        .join(minhash.select(F.col("doc_id").alias("b"), F.col("minhash").alias("right")), "b")
-        .where(equal >= needed)
-        .select("a", "b")
+    open_rows = materialize(
+        labelled.join(mixed, "bucket").select("doc_id", "center", "component").distinct(), "open"
     )
-    more_links = materialize(confirm(likely, texts_of, percent, words), "more-links")
-    # Texts stand for their first component, so that only one link a component is needed.
-    label = first.select("node", "component")
-    between = (
-        more_links.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        .join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    clusters = connected_components(open_rows.select(F.col("doc_id").alias("a"), F.col("center").alias("b")))
+    members_of = (
+        open_rows.select("doc_id", "component")
+        .distinct()
+        .join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+        .join(texts_of, "doc_id")
     )
+    between = materialize(compare_clusters(members_of, percent, words), "links-between")
     members = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected_components(between.unionAll(members.where("a <> b")))
 
@@ -267,5 +315,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     )
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
+    """Rows of ``docs`` without the near-duplicates of a kept row, with all their columns.
+
+    Of a group the smallest doc_id stays; rows with null or repeated ids count as documents
+    of their own, so of repeated rows one stays. Texts without words have no duplicates.
+    """
+    keyed = with_rows(docs)
+    found = near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text"), percent, words)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
+    return keyed.join(gone, ROW, "left_anti").select(docs.columns)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
