@@ -204,11 +204,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_c
     rows = (
         sample.select(F.col("doc_id").cast("long"), "text", "label")
         .mapInArrow(measure, "doc_id long, label int, features array<double>")
-        .toPandas()  # 2 * per_class rows of fixed width
-        .sort_values("doc_id")
+        .toArrow()  # 2 * per_class rows of fixed width
+        .sort_by("doc_id")
     )
-    features = np.array(rows["features"].tolist(), float).reshape(len(rows), -1)
-    return fit(features, rows["label"].to_numpy(np.int64))
+    features = rows["features"].combine_chunks().flatten().to_numpy()
+    return fit(features.reshape(-1, len(QUALITY_FEATURES)), rows["label"].to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:

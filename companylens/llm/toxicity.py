@@ -29,10 +29,10 @@ from companylens.operators.distributed import materialize
 BUCKETS = 1 << 20
 STEMS = (4, 5)
 MIN_Z = 4.0
-MAX_TERMS = 4_096
+MAX_TERMS = 1_024
 FACTORS = 8
 # Texts of each class to learn from, at most.
-PER_CLASS = 8_000
+PER_CLASS = 6_000
 
 
 @dataclass
@@ -147,13 +147,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_c
     place = np.full(BUCKETS, -1, np.int32)
     place[terms] = np.arange(len(terms))
     in_use = F.broadcast(chosen)
-    cells = (
-        bags.select("id", F.explode("terms").alias("term")).join(in_use, "term").toPandas()
-    )  # the sample's terms in use: bounded by the sample and MAX_TERMS
-    marks = bags.select("id", "label").toPandas()
-    row = {v: i for i, v in enumerate(marks["id"])}
-    rows = cells["id"].map(row).to_numpy(np.int64)
-    model = fit(rows, place[cells["term"].to_numpy(np.int64)], marks["label"].to_numpy(np.int64), max(len(terms), 1))
+    # Both are bounded by the sample and MAX_TERMS.
+    cells = bags.select("id", F.explode("terms").alias("term")).join(in_use, "term").toArrow()
+    marks = bags.select("id", "label").toArrow()
+    ids = marks["id"].to_numpy()
+    order = np.argsort(ids)
+    rows = np.searchsorted(ids[order], cells["id"].to_numpy()).astype(np.int32)
+    used = place[cells["term"].to_numpy()]
+    del cells
+    truth = marks["label"].to_numpy()[order].astype(np.int64)
+    model = fit(rows, used, truth, max(len(terms), 1))
     model.place = place
     return model
 
