@@ -38,8 +38,8 @@ UNITS = (
 
 # A marker that texts hold only by accident, then the type: p name, n number, u unit.
 MARK = "\x01"
-_NAME = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}'’-]*"
-_NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+_NAME = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}[\p{L}'’-]*"
+_NUMBER = r"(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*"
 _UNIT = "(" + MARK + r"n[0-9.,]+) +(" + "|".join(UNITS) + r")\b"
 _BETWEEN = r"(?:(?![.,][0-9])[^\p{L}\p{N}" + MARK + "])+"
 
