@@ -44,7 +44,7 @@ _CLASSES = {
     "upper": r"[^A-Z]+",
     "digit": r"[^0-9]+",
     "symbol": r"[^#*$%&|<>]+",
-    "mark": r"[^!-/:-@\[-`{-~&&[^#*$%&|<>]]+",
+    "mark": r"""[^!"'()+,\-./:;=?@\[\\\]^_`{}~]+""",
     "other": r"[\x00-\x7F]+",
 }
 

@@ -7,6 +7,7 @@ from companylens.llm.gam import op8_additive_quality
 from companylens.llm.html_text import op3_template_extraction
 from companylens.llm.langmodel import op4_bloom_lm_scores
 from companylens.llm.minhash import op9_minhash_near_dedup
+from companylens.llm.oracles import ORACLES  # noqa: F401
 from companylens.llm.packing import op10_best_fit_packing
 from companylens.llm.quality_rules import op7_divergence_quality
 from companylens.llm.records import op5_token_records
@@ -25,5 +26,3 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-
-ORACLES: dict[str, str] = {}
