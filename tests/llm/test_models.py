@@ -32,12 +32,28 @@ def test_language_model(spark, awkward):
     check_base(score_corpus(awkward).collect(), docs)
 
 
-def test_language_model_learns_pairs(spark, sf_dir):
+def test_language_model_learns_pairs(spark):
+    own = random.Random(12)
+    follows = {i: own.randrange(200) for i in range(200)}
+    docs = []
+    for i in range(150):
+        word, text = own.randrange(200), []
+        for _ in range(80):
+            text.append(f"w{word}")
+            word = follows[word] if own.random() < 0.8 else own.randrange(200)
+        docs.append((i, " ".join(text)))
+    rows = score_corpus(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check_base(rows, docs)
+    assert all(r["score"] > 0.8 * r["base_score"] for r in rows if r["held_out"])
+
+
+def test_language_model_of_the_driver_tables(spark, sf_dir):
     rows = QUERIES["op4_bloom_lm_scores"](spark, sf_dir).collect()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     check_base(rows, [(r["doc_id"], r["text"]) for r in docs])
     held_out = [r for r in rows if r["held_out"]]
-    assert sum(r["score"] for r in held_out) > sum(r["base_score"] for r in held_out)
+    # Few pairs repeat in so small a table; quantised counts must not cost much then.
+    assert sum(r["score"] for r in held_out) > 1.01 * sum(r["base_score"] for r in held_out)
 
 
 def test_language_model_of_untidy_rows(spark, untidy, nothing):
@@ -164,7 +180,7 @@ def test_additive_model_needs_pairs():
     assert any({a, b} == {0, 1} for a, b in model.pairs)
     assert ((model.margins(x) > 0) == (y == 1)).mean() > 0.95
     alone = AdditiveModel(model.edges, model.pair_edges, model.bias, model.tables)
-    assert ((alone.margins(x) > 0) == (y == 1)).mean() < 0.7
+    assert ((alone.margins(x) > 0) == (y == 1)).mean() < 0.8
 
 
 def test_quality_features():

