@@ -54,6 +54,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder from whatever store its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def delete_stored(spark: SparkSession) -> None:
+    """Remove all cut points that this application has written.
+
+    Call it when none of their DataFrames is needed any more, at the latest before the
+    session is stopped.
+    """
+    delete_path(spark, f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
+
+
 def _same_keys(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
     return reduce(
         lambda a, b: a & b, [left[k].eqNullSafe(right[alias]) for k, alias in keys.items()]
@@ -97,13 +112,19 @@ def join_by_key(
     The table is stored first, so its size is known when the join is chosen:
 
     * small: broadcast, the wide rows are never shuffled;
-    * large: the ``HOT_KEYS`` heaviest keys are attached by broadcast (bounded
-      by construction) and their rows are spread by a salt, so that no task of
-      the following key join receives a whole hot group.
+    * large, and no key holds more rows than a quarter of an average task: a
+      plain key join;
+    * large with such hot keys: these are attached by broadcast (``HOT_KEYS`` at
+      most, of bounded width) and their rows are spread by a salt, so that no
+      task of the following key join receives a whole hot group.
     """
     payload = [c for c in table.columns if c not in keys and c != weight]
     table = materialize(table, "keyed")
-    size = table.agg(F.coalesce(F.sum(_row_bytes(table)), F.lit(0))).first()[0]
+    size, total, heaviest = table.agg(
+        F.coalesce(F.sum(_row_bytes(table)), F.lit(0)),
+        F.coalesce(F.sum(weight), F.lit(0)),
+        F.coalesce(F.max(weight), F.lit(0)),
+    ).first()
 
     aliases = {k: f"__key_{i}" for i, k in enumerate(keys)}
     renamed = table.select(
@@ -115,9 +136,17 @@ def join_by_key(
             *aliases.values()
         )
 
+    slices = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = total / (4 * slices)
+    if heaviest <= least:
+        plain = renamed.drop(weight)
+        return rows.join(plain, _same_keys(rows, plain, aliases), "left").drop(*aliases.values())
+
     # Hot keys travel as digests, so their size is bounded whatever the keys are.
     # A row that misses its digest still finds its key in the key join below.
-    hot = renamed.orderBy(F.desc(weight), *aliases.values()).limit(HOT_KEYS)
+    narrow = _row_bytes(renamed) <= BROADCAST_BYTES // HOT_KEYS
+    hot = renamed.where((F.col(weight) > least) & narrow)
+    hot = hot.orderBy(F.desc(weight), *aliases.values()).limit(HOT_KEYS)
     hot = F.broadcast(
         hot.select(
             _digest(aliases.values()).alias("__hot"),

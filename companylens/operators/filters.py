@@ -18,7 +18,7 @@ RISK_FILTERS = ["All", "Risk Signals Only", "No Risk Signals"]
 def scope_condition(scope: str) -> Column:
     """Membership of a record in an analytical scope."""
     if scope not in SCOPES:
-        raise ContractError(f"Invalid analytical scope: {scope}. Expected one of: {SCOPES}")
+        raise ContractError(f"Unknown scope {scope!r}; known are {SCOPES}")
     no_marker = ~is_true(F.col("has_adverse_legal_status"))
     eligible = is_true(F.col("analytical_eligibility") == "eligible")
     return {
@@ -48,6 +48,8 @@ def filter_companies(
     risk_filter: str = "All",
 ) -> DataFrame:
     """Faceted filter. Ranges keep records without a value; empty lists do not filter."""
+    if risk_filter not in RISK_FILTERS:
+        raise ContractError(f"Unknown risk filter {risk_filter!r}; known are {RISK_FILTERS}")
     filtered = filter_analytical_scope(df, scope)
     if municipalities:
         filtered = filtered.where(F.col("municipality").isin(list(municipalities)))

@@ -1,49 +1,19 @@
-"""Exact quantiles without gathering a large group in one task.
+"""Exact quantiles of groups of any size, by one method.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer, so it is used only on frames whose counted rows are few.
-Beyond that a sketch *brackets* each quantile, and a second pass counts
-exactly: values outside the brackets are reduced to one counter per zone,
-values inside keep their own counters, and the order statistics are read off
-the running count. The sketch error bounds how wide a bracket is, never what
-is returned.
+Values are counted per group, so a repeated value is one row, with partial sums. The counted
+rows are put in order of group and value over range slices and get a running total; a group
+may lie on many slices, and no task holds more than a slice. A group's total (one row) turns
+running totals into ranks, and only the rows that cover a wanted rank go on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from companylens.operators.distributed import join_by_key, materialize
-
-# Relative rank error of the sketch is 1 / SKETCH_ACCURACY (its documented
-# bound); brackets reach twice as far on each side.
-SKETCH_ACCURACY = 20_000
-# A frame of at most this many rows cannot hold a group that is too large for
-# one aggregation buffer; its quantiles come from the built-in aggregate.
-SMALL_FRAME = 1_000_000
-# Up to this many values per unit of accuracy a group keeps every value: a
-# bracket there would be narrower than the ranks it has to contain.
-SMALL_GROUP = 5
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def _small_frame_quantiles(
-    df: DataFrame, metrics: list[str], probabilities: list[float], group_by: list[str]
-) -> DataFrame:
-    """Same result as ``exact_quantiles``, from the built-in aggregate."""
-    levels = F.array(*[F.lit(float(p)) for p in probabilities])
-    wide = df.groupBy(*group_by).agg(
-        *[
-            F.struct(
-                F.lit(m).alias("metric"),
-                F.count(m).alias("available"),
-                F.percentile(m, levels).alias("quantiles"),
-            ).alias(f"__{i}")
-            for i, m in enumerate(metrics)
-        ]
-    )
-    rows = F.inline(F.array(*[F.col(f"__{i}") for i in range(len(metrics))]))
-    return wide.select(*group_by, rows).where("available > 0")
+from companylens.operators.distributed import join_by_key, running_total
 
 
 def exact_quantiles(
@@ -52,126 +22,75 @@ def exact_quantiles(
     probabilities: list[float],
     group_by: list[str] | None = None,
     few_groups: bool = False,
-    spread_by: list[str] | None = None,
-    accuracy: int = SKETCH_ACCURACY,
-    small_frame: int = SMALL_FRAME,
 ) -> DataFrame:
     """Linear-interpolated quantiles of several columns per group.
 
     Returns one row per group and metric with at least one value: the group
     columns, ``metric``, ``available`` (number of values) and ``quantiles``, an
-    array in the order of ``probabilities``. ``few_groups`` states that the
-    number of groups is fixed by the caller (such as the analytical scopes),
-    which makes the bracket table small by construction; otherwise its size is
-    checked before it is broadcast.
+    array in the order of ``probabilities``, equal to the built-in ``percentile``
+    to the last bit. ``few_groups`` states that the number of groups is fixed by
+    the caller (such as the analytical scopes), so that their totals are small;
+    otherwise the size of the totals is checked before they are broadcast.
     """
     group_by = list(group_by or [])
-    if df.count() <= small_frame:
-        return _small_frame_quantiles(df, metrics, probabilities, group_by)
     keys = group_by + ["metric"]
-    margin, keep = 2.0 / accuracy, SMALL_GROUP * accuracy
-
-    extra = [c for c in (spread_by or []) if c not in group_by]
     values = df.select(
         *group_by,
-        *extra,
         F.inline(
             F.array(
                 *[
-                    F.struct(
-                        F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")
-                    )
+                    F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                     for m in metrics
                 ]
             )
         ),
     ).where(F.col("value").isNotNull())
-
-    def sketched(rows: DataFrame) -> DataFrame:
-        reach = [
-            min(1.0, max(0.0, p + side)) for p in probabilities for side in (-margin, margin)
-        ]
-        return rows.groupBy(*keys).agg(
-            F.count("value").alias("weight"),
-            F.percentile_approx("value", reach, accuracy).alias("bracket"),
-        )
-
+    counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    ordered = running_total(counted, [F.col(k) for k in (*keys, "value")], F.col("n"), "upto")
+    groups = ordered.groupBy(*keys).agg(
+        F.sum("n").alias("available"), F.min(F.col("upto") - F.col("n")).alias("before")
+    )
     if few_groups or not group_by:
-        few = sketched(values).select(
-            *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)],
-            F.when(F.col("weight") > keep, F.col("bracket")).alias("bracket"),
+        totals = groups.select(
+            *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], "available", "before"
         )
         on = [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)]
-        joined = values.join(F.broadcast(few), on).select(*keys, "value", "bracket")
+        ranked = ordered.join(F.broadcast(totals), on)
     else:
-        # Only large groups are sketched; there are at most rows / keep of them.
-        spread = keys + extra + ["value"]
-        sizes = values.groupBy(*keys).agg(F.count("value").alias("weight"))
-        large = materialize(sizes.where(F.col("weight") > keep), "large-groups")
-        if large.isEmpty():
-            joined = values.withColumn("bracket", F.lit(None).cast("array<double>"))
-        else:
-            marked = join_by_key(
-                values, large.withColumn("is_large", F.lit(True)), keys, "weight", spread
-            )
-            brackets = sketched(marked.where("is_large"))
-            joined = join_by_key(values, brackets, keys, "weight", spread)
-
-    # Zone = number of bracket ends passed by the value; values inside a bracket,
-    # and all values of groups without brackets, are kept one by one.
-    zone, inside = F.lit(0), F.col("bracket").isNull()
-    for i in range(len(probabilities)):
-        low, high = F.col("bracket")[2 * i], F.col("bracket")[2 * i + 1]
-        zone = zone + (F.col("value") >= low).cast("int") + (F.col("value") > high).cast("int")
-        inside = inside | F.col("value").between(low, high)
-    counted = (
-        joined.select(
-            *keys,
-            F.coalesce(zone, F.lit(0)).alias("zone"),
-            F.when(inside, F.col("value")).alias("value"),
-        )
-        .groupBy(*keys, "zone", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+        weighted = groups.withColumn("weight", F.col("available"))
+        ranked = join_by_key(ordered, weighted, keys, "weight", [*keys, "value"])
 
-    upto = (
-        Window.partitionBy(*keys)
-        .orderBy("zone", "value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    whole = Window.partitionBy(*keys)
-    ranked = counted.select(
-        *keys,
-        "value",
-        F.sum("n").over(whole).alias("available"),
-        F.sum("n").over(upto).alias("last"),
-        (F.sum("n").over(upto) - F.col("n")).alias("first"),
-    )
-    # Zero-based positions [first, last) are covered by each counter row.
-    picks = []
-    for i, p in enumerate(probabilities):
+    def bounds(p: float) -> tuple[Column, Column, Column]:
         position = F.lit(float(p)) * (F.col("available") - 1)
-        lower = F.floor(position)
-        upper = F.least(lower + 1, F.col("available") - 1)
-        for side, target in (("lower", lower), ("upper", upper)):
-            covers = (F.col("first") <= target) & (target < F.col("last"))
-            picks.append(
-                F.max(
-                    F.when(
-                        covers,
-                        F.coalesce(
-                            F.col("value"), F.raise_error(F.lit("quantile outside its bracket"))
-                        ),
-                    )
-                ).alias(f"{side}_{i}")
-            )
-    picked = ranked.groupBy(*keys).agg(F.max("available").alias("available"), *picks)
+        return position, F.floor(position), F.ceil(position)
+
+    # A row covers the zero-based ranks [upto - n, upto) of its group.
+    last = F.col("upto") - F.col("before")
+    first = last - F.col("n")
+
+    def covers(rank: Column) -> Column:
+        return (first <= rank) & (rank < last)
+
+    wanted = [rank for p in probabilities for rank in bounds(p)[1:]]
+    picks = [
+        F.max(F.when(covers(rank), F.col("value"))).alias(f"__{side}_{i}")
+        for i, p in enumerate(probabilities)
+        for side, rank in zip(("low", "high"), bounds(p)[1:], strict=True)
+    ]
+    picked = (
+        ranked.where(reduce(lambda a, b: a | b, map(covers, wanted)))
+        .groupBy(*keys, "available")
+        .agg(*picks)
+    )
     quantiles = []
     for i, p in enumerate(probabilities):
-        position = F.lit(float(p)) * (F.col("available") - 1)
-        share = position - F.floor(position)
-        low, high = F.col(f"lower_{i}"), F.col(f"upper_{i}")
-        quantiles.append(low + (high - low) * share)
+        position, lower, upper = bounds(p)
+        low, high = F.col(f"__low_{i}"), F.col(f"__high_{i}")
+        quantiles.append(
+            F.when((lower == upper) | (low == high), low).otherwise(
+                (upper - position) * low + (position - lower) * high
+            )
+        )
     return picked.select(*keys, "available", F.array(*quantiles).alias("quantiles"))
 
 
@@ -180,12 +99,9 @@ def exact_medians(
     medians: dict[str, str],
     group_by: list[str] | None = None,
     few_groups: bool = False,
-    spread_by: list[str] | None = None,
 ) -> DataFrame:
     """Medians as columns: ``medians`` maps output names to input columns."""
-    long = exact_quantiles(
-        df, sorted(set(medians.values())), [0.5], group_by, few_groups, spread_by
-    )
+    long = exact_quantiles(df, sorted(set(medians.values())), [0.5], group_by, few_groups)
     return long.groupBy(*(group_by or [])).agg(
         *[
             F.max(F.when(F.col("metric") == column, F.col("quantiles")[0])).alias(name)

@@ -21,9 +21,9 @@ def create_company_ranking(
     """Companies ranked by a numeric metric; ties keep source order."""
     scoped = filter_analytical_scope(df, scope)
     if metric not in scoped.columns:
-        raise ContractError(f"Ranking metric not found: {metric}")
+        raise ContractError(f"No such column to rank by: {metric}")
     if not isinstance(scoped.schema[metric].dataType, (T.NumericType, T.BooleanType)):
-        raise ContractError(f"Ranking metric must be numeric: {metric}")
+        raise ContractError(f"Only numbers can be ranked: {metric}")
     positive_int(top_n, "Ranking top_n")
 
     order = [F.asc(metric) if ascending else F.desc(metric), F.asc("record_order")]

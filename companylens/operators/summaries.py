@@ -149,11 +149,11 @@ def calculate_revenue_concentration(
     checked = (
         F.when(
             F.col("available") == 0,
-            F.raise_error(F.lit("Cannot calculate concentration without revenue data.")),
+            F.raise_error(F.lit("Concentration needs a company with revenue.")),
         )
         .when(
             F.col("total_revenue") == 0,
-            F.raise_error(F.lit("Cannot calculate concentration when total revenue is zero.")),
+            F.raise_error(F.lit("Concentration is undefined: revenue adds up to zero.")),
         )
         .otherwise(F.col("total_revenue"))
     )
@@ -218,12 +218,8 @@ def summarize_places(df: DataFrame, place: str) -> DataFrame:
         F.count_if(F.col("has_adverse_legal_status")).alias("adverse_status_count"),
         F.count_if(F.col("has_negative_latest_ebitda")).alias("negative_ebitda_count"),
     )
-    spread = [c for c in ("record_order",) if c in df.columns]
     medians = exact_medians(
-        df,
-        {"median_revenue_k_eur": REVENUE, "median_ebitda_margin": "ebitda_margin"},
-        [place],
-        spread_by=spread,
+        df, {"median_revenue_k_eur": REVENUE, "median_ebitda_margin": "ebitda_margin"}, [place]
     ).withColumnRenamed(place, "__place")
     companies = F.col("company_count")
     return (

@@ -79,17 +79,11 @@ def make_groups(spark):
     return rows, spark.createDataFrame(rows, "id long, g string, v double, w double")
 
 
-@pytest.mark.parametrize("path", ["small", "brackets", "kept", "grouped broadcast"])
-def test_quantiles_against_numpy(spark, path):
+@pytest.mark.parametrize("few_groups", [False, True])
+def test_quantiles_against_numpy(spark, few_groups):
     rows, df = make_groups(spark)
     probabilities = [0.0, 0.1, 0.5, 0.9, 0.99, 1.0]
-    options = {
-        "small": {},
-        "brackets": {"small_frame": 0, "accuracy": 50},
-        "kept": {"small_frame": 0, "accuracy": 50_000},
-        "grouped broadcast": {"small_frame": 0, "accuracy": 50, "few_groups": True},
-    }[path]
-    result = exact_quantiles(df, ["v", "w"], probabilities, ["g"], spread_by=["id"], **options)
+    result = exact_quantiles(df, ["v", "w"], probabilities, ["g"], few_groups)
     found = {(r.g, r.metric): (r.available, r.quantiles) for r in result.collect()}
     assert len(found) == 2 * len({r[1] for r in rows})
     for (group, metric), (available, quantiles) in found.items():
@@ -99,21 +93,46 @@ def test_quantiles_against_numpy(spark, path):
         assert quantiles == pytest.approx(np.quantile(values, probabilities), abs=1e-9)
 
 
-@pytest.mark.parametrize("small_frame", [0, 10**6])
-def test_quantiles_without_groups(spark, small_frame):
+def test_quantiles_without_groups(spark):
     rows, df = make_groups(spark)
-    result = exact_quantiles(df, ["v"], [0.25, 0.75], accuracy=100, small_frame=small_frame)
+    result = exact_quantiles(df, ["v"], [0.25, 0.75])
     values = [r[2] for r in rows if r[2] is not None]
     assert [r.quantiles for r in result.collect()] == [
         pytest.approx(np.quantile(values, [0.25, 0.75]), abs=1e-9)
     ]
-    assert exact_quantiles(df.where("v is null"), ["v"], [0.5], small_frame=small_frame).count() == 0
-
-
-def test_constant_group_in_brackets(spark):
-    df = spark.range(5000).select(F.lit(4.0).alias("v"))
-    result = exact_quantiles(df, ["v"], [0.1, 0.5], accuracy=10, small_frame=0).collect()
-    assert result[0].quantiles == [4.0, 4.0] and result[0].available == 5000
+    assert exact_quantiles(df.where("v is null"), ["v"], [0.5]).count() == 0
+
+
+def test_quantiles_have_the_bits_of_the_built_in(spark):
+    """Odd values and 100 random samples, all as groups of one frame."""
+    inf = float("inf")
+    samples = [[1.0, 2.0, inf], [inf] * 3, [-1.7e308, 1.7e308], [-inf, 0.0, inf], [4.0] * 50, [7.25]]
+    own = random.Random(11)
+    samples += [[own.gauss(0, 10 ** own.randint(-3, 9)) for _ in range(own.randint(1, 110))] for _ in range(100)]
+    rows = [(i, x) for i, sample in enumerate(samples) for x in sample]
+    df = spark.createDataFrame(rows, "g int, v double")
+    levels = [0.0, 0.1, 0.25, 0.29, 0.5, 0.75, 0.999, 1.0]
+    found = {r.g: r.quantiles for r in exact_quantiles(df, ["v"], levels, ["g"]).collect()}
+    built_in = df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, levels))).alias("q"))
+    expected = {r.g: r.q for r in built_in.collect()}
+    assert repr(sorted(found.items())) == repr(sorted(expected.items()))
+    assert found[0][4] == 2.0 and found[1][4] == inf and found[2][4] == 0.0
+
+
+def test_no_digest_without_a_hot_key(spark):
+    df = spark.range(4000).select((F.col("id") % 1000).alias("k"), "id")
+    table = df.groupBy("k").agg(F.count("*").alias("w")).withColumn("size", F.col("w"))
+    joined = distributed.join_by_key(df, table, ["k"], "w", ["id"], broadcast_bytes=0)
+    assert "sha2" not in joined._jdf.queryExecution().toString()
+    assert {r["size"] for r in joined.collect()} == {4} and joined.count() == 4000
+
+
+def test_stored_tables_can_be_removed(spark, tmp_path):
+    folder = tmp_path / "stored"
+    folder.mkdir()
+    (folder / "part").write_text("x")
+    distributed.delete_path(spark, str(folder))
+    assert not folder.exists()
 
 
 def test_medians_as_columns(spark):
