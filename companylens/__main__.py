@@ -1,4 +1,4 @@
-"""Batch job: ``spark-submit`` entry that runs the pipeline and its export."""
+"""Batch job that runs the pipeline and its export; ``run.py`` starts it for spark-submit."""
 
 from __future__ import annotations
 
@@ -19,6 +19,11 @@ def build_argument_parser() -> argparse.ArgumentParser:
     parser.add_argument("--output", required=True, help="export folder")
     parser.add_argument("--ranking-size", type=int, default=DEFAULT_RANKING_SIZE)
     parser.add_argument("--public-root", default=None, help="folder closed to private sources")
+    parser.add_argument(
+        "--allow-private-public-export",
+        action="store_true",
+        help="write private results without a folder to stay out of, or into it",
+    )
     parser.add_argument("--no-overwrite", action="store_true")
     return parser
 
@@ -34,6 +39,7 @@ def main(arguments: list[str] | None = None) -> None:
         options.format,
         options.ranking_size,
         public_root=options.public_root,
+        allow_private_public_export=options.allow_private_public_export,
         overwrite=not options.no_overwrite,
     )
     print(f"{result.row_count:,} records, {export.artifact_count} artifacts in {export.directory}")

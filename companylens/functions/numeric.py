@@ -48,72 +48,17 @@ def nan_to_null(column: Column) -> Column:
     return F.nanvl(column, F.lit(None).cast("double"))
 
 
-def _stored_below(size: Column, decimal_text: Column) -> Column:
-    """Whether the stored double lies below the decimal number it prints as.
+def ten_digits(column: Column) -> Column:
+    """Decimal text with up to ten significant digits, rounded half up.
 
-    Negative, zero or positive sign of the difference, from whole numbers only:
-    the double times a power of two against the digits times a power of ten.
+    Plain from 0.0001 up to ten billions, with an exponent outside.
     """
-    places = F.length(decimal_text) - F.instr(decimal_text, F.lit("."))
-    ten = F.concat(F.lit("1"), F.repeat(F.lit("0"), places)).cast("decimal(16,0)")
-    digits = F.replace(decimal_text, F.lit("."), F.lit("")).cast("decimal(11,0)")
-    power = F.lit(53) - F.floor(F.log2(size)).cast("int")
-    whole = (size * F.pow(F.lit(2.0), power)).cast("long").cast("decimal(20,0)")
-    two = F.call_function("shiftleft", F.lit(1).cast("long"), power - 20).cast(
-        "decimal(20,0)"
-    ) * F.lit(2**20).cast("decimal(7,0)")
-    return F.signum((whole * ten - digits * two).cast("double"))
-
-
-def scientific_text(column: Column, digits: int = 10) -> Column:
-    """``digits`` significant digits in exponent notation, rounded half up."""
-    return F.format_string(f"%.{digits - 1}e", column)
-
-
-def decimal_text(column: Column) -> Column:
-    """Magnitude as the double prints, in plain notation without ending zeros.
-
-    Null beyond 20 integer digits, where ten digits never need plain notation.
-    """
-    return F.rtrim(F.abs(column).try_cast("decimal(38,18)").cast("string"), F.lit("0"))
-
-
-def is_decimal_tie(stored: Column, digits: int = 10) -> Column:
-    """Whether ``decimal_text`` lies half way between two texts of ``digits`` digits."""
-    significant = F.ltrim(F.replace(stored, F.lit("."), F.lit("")), F.lit("0"))
-    return (F.length(significant) == digits + 1) & significant.endswith("5")
-
-
-def general_format(
-    column: Column, scientific: Column, stored: Column, tie: Column, digits: int = 10
-) -> Column:
-    """Shortest decimal text with ``digits`` significant digits, like ``%.10g``.
-
-    The other arguments are ``scientific_text``, ``decimal_text`` and
-    ``is_decimal_tie`` of the column, computed in projections before this one.
-    Java rounds the printed decimal half up; where that is a tie, the stored
-    double decides, and an exact tie goes to the even digit.
-    """
-    rounded = scientific.cast("double")
-    size = F.abs(rounded)
-
-    def trimmed(text: Column) -> Column:
-        return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
-
-    below = _stored_below(F.abs(column), stored)
-    last_kept = F.substring(F.replace(stored, F.lit("."), F.lit("")), -2, 1)
-    rounds_down = (below < 0) | ((below == 0) & last_kept.isin("0", "2", "4", "6", "8"))
-    cut = F.concat(
-        F.when(column < 0, "-").otherwise(""),
-        trimmed(F.substring(stored, F.lit(1), F.length(stored) - 1)),
-    )
+    scientific = F.format_string("%.9e", column)
+    size = F.abs(column)
+    plain = F.rtrim(scientific.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
     return (
         F.when(column.isNull(), F.lit(None).cast("string"))
         .when(column == 0, "0")
-        .when(
-            (size < 1e-4) | (size >= 10.0**digits),
-            F.regexp_replace(scientific, r"\.?0+e", "e"),
-        )
-        .when(tie & rounds_down, cut)
-        .otherwise(trimmed(rounded.cast("decimal(38,18)").cast("string")))
+        .when((size < 1e-4) | (size >= 1e10), F.regexp_replace(scientific, r"\.?0*e", "e"))
+        .otherwise(F.rtrim(plain, F.lit(".")))
     )

@@ -6,19 +6,15 @@ import posixpath
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from urllib.parse import urlparse
+from urllib.parse import urlsplit
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from companylens.functions.numeric import (
-    decimal_text,
-    general_format,
-    is_decimal_tie,
-    scientific_text,
-)
+from companylens.functions.numeric import ten_digits
+from companylens.operators.distributed import delete_path
 from companylens.plans.pipeline import PipelineResult, run_counters, run_pipeline
 from companylens.schema import SOURCE_COLUMNS, TABLE_NAMES
 from companylens.sources.contracts import ContractError, require_rows
@@ -29,43 +25,59 @@ COMPANY_LEVEL = "companies_quality_controlled"
 RUN_METADATA = "run_metadata"
 MANIFEST = "export_manifest"
 
-# Rows per exported company file: keeps every file small enough to be hashed.
+# Tables whose number of rows is fixed by their definition: one file each.
+FIXED_SIZE = {
+    "scope_comparison",
+    "coverage",
+    "quality_summary",
+    "revenue_concentration",
+    "revenue_percentiles",
+}
+# Rows per exported file of the others: keeps every file small enough to be hashed.
 ROWS_PER_FILE = 1_000_000
 
 
 def csv_text(df: DataFrame) -> DataFrame:
     """Every column as export text: ten significant digits, ``True``/``False``."""
-    numbers = [
-        c.name for c in df.schema if isinstance(c.dataType, (T.DoubleType, T.FloatType))
-    ]
-    parts = df.withColumns({c: F.col(c).cast("double") for c in numbers}).select(
-        "*",
-        *[scientific_text(F.col(c)).alias(f"__scientific_{c}") for c in numbers],
-        *[decimal_text(F.col(c)).alias(f"__stored_{c}") for c in numbers],
-    )
-    parts = parts.select(
-        "*", *[is_decimal_tie(F.col(f"__stored_{c}")).alias(f"__tie_{c}") for c in numbers]
-    )
 
     def render(column: T.StructField) -> Column:
         value = F.col(column.name)
-        if column.name in numbers:
-            prepared = [F.col(f"__{p}_{column.name}") for p in ("scientific", "stored", "tie")]
-            return general_format(value, *prepared)
+        if isinstance(column.dataType, (T.DoubleType, T.FloatType)):
+            return ten_digits(value.cast("double"))
         if isinstance(column.dataType, T.BooleanType):
             return F.when(value, "True").when(~value, "False")
         return value.cast("string")
 
-    return parts.select(*[render(c).alias(c.name) for c in df.schema])
+    return df.select(*[render(c).alias(c.name) for c in df.schema])
+
+
+def name_files(spark: SparkSession, folder: str, extension: str) -> None:
+    """Give a written folder's part files names that are the same in every run.
+
+    Spark's names hold a random number. Their order is the order of the rows, and stays.
+    Only names are touched, one by one.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(
+        x.getPath().getName()
+        for x in files.listStatus(path)
+        if x.getPath().getName().startswith("part-")
+    )
+    for i, name in enumerate(names):
+        new = f"part-{i:05d}.{extension}"
+        old, target = (spark._jvm.org.apache.hadoop.fs.Path(path, n) for n in (name, new))
+        if not files.rename(old, target):
+            raise OSError(f"cannot rename {name} in {folder}")
 
 
 def write_table_csv(
-    df: DataFrame, path: str, small: bool = True, overwrite: bool = True
+    df: DataFrame, path: str, small: bool = False, overwrite: bool = True
 ) -> str:
     """Write a table as UTF-8 CSV with header; an empty table is refused.
 
-    Small tables are computed once and become one file, in their order.
-    Company-level tables are written by all tasks, in files of bounded size.
+    Small tables are computed once and become one file. Others are written by all
+    tasks, in files of bounded size. Files keep the order of the rows.
     """
     text = csv_text(df)
     if small:
@@ -87,6 +99,7 @@ def write_table_csv(
     finally:
         if small:
             text.unpersist()
+    name_files(df.sparkSession, path, "csv")
     return path
 
 
@@ -111,15 +124,15 @@ def write_download(df: DataFrame, path: str, file_format: str = "csv") -> str:
 def run_metadata(result: PipelineResult) -> DataFrame:
     """One row that describes a run; fields in alphabetical order."""
     public = result.source_name == PUBLIC_SOURCE
-    first_limitation = (
-        "The synthetic source is not representative of the regional economy."
+    origin = (
+        "All companies are made up; their figures describe no real region."
         if public
-        else "The register source combines each company's latest available financial period."
+        else "Figures are each company's latest ones on file, which may be of different years."
     )
     limitations = [
-        first_limitation,
-        "Results must not be used for credit, investment or legal decisions.",
-        "Adverse legal status is inferred from explicit company-name markers.",
+        origin,
+        "Not a basis for lending, investing or legal steps.",
+        "Legal status is read from words in company names, not from a court register.",
     ]
     counters = run_counters(result.quality)
     return counters.select(
@@ -179,22 +192,38 @@ def has_files(spark: SparkSession, directory: str) -> bool:
         raise
 
 
+def _location(path: str) -> tuple[str, str, str]:
+    """Scheme, authority and plain path of a folder, as its store resolves it."""
+    spark = SparkSession.active()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = urlsplit(files.makeQualified(target).toString())
+    return parts.scheme, parts.netloc, posixpath.normpath("/" + parts.path.lstrip("/"))
+
+
 def check_publication(
     source_name: str,
     directory: str,
     public_root: str | None,
     allow_private_public_export: bool = False,
 ) -> str:
-    """Refuse to write private results below the public report tree."""
-    def location(path: str) -> str:
-        return posixpath.normpath(urlparse(path).path)
+    """Refuse to write private results below the public report tree.
 
-    if source_name == PRIVATE_SOURCE and public_root and not allow_private_public_export:
-        target, root = location(directory), location(public_root)
-        if target == root or target.startswith(root.rstrip("/") + "/"):
+    Without a stated tree nothing can be compared, so private results are refused too,
+    unless ``allow_private_public_export`` is set.
+    """
+    if source_name == PRIVATE_SOURCE and not allow_private_public_export:
+        if not public_root:
             raise ContractError(
-                "Private results cannot be exported below the public report tree "
-                "unless allow_private_public_export=True."
+                "Private results need public_root, the folder they must stay out of, "
+                "or allow_private_public_export=True."
+            )
+        target, root = _location(directory), _location(public_root)
+        below = target[2] == root[2] or target[2].startswith(root[2].rstrip("/") + "/")
+        if target[:2] == root[:2] and below:
+            raise ContractError(
+                f"Private results must stay out of the public folder {public_root}; "
+                "allow_private_public_export=True lifts this."
             )
     return directory.rstrip("/")
 
@@ -238,7 +267,8 @@ def export_result(
     """Write seven tables, optional company layer, metadata and manifest.
 
     Company-level rows are left out by default for private sources. With
-    ``overwrite`` off, a directory that holds files is refused.
+    ``overwrite`` the directory is emptied first, so nothing of an earlier export stays;
+    without it, a directory that holds files is refused.
     """
     validate_result(result)
     spark = result.quality.sparkSession
@@ -247,27 +277,34 @@ def export_result(
     )
     if not overwrite and has_files(spark, target):
         raise FileExistsError(f"Export directory is not empty: {target}")
+    delete_path(spark, target)
     if include_company_level is None:
         include_company_level = result.source_name == PUBLIC_SOURCE
 
     # The tables are independent small jobs: submit a few at a time.
     with ThreadPoolExecutor(max_workers=4) as pool:
         written = pool.map(
-            lambda name: write_table_csv(result.get_table(name), posixpath.join(target, name)),
+            lambda name: write_table_csv(
+                result.get_table(name), posixpath.join(target, name), small=name in FIXED_SIZE
+            ),
             TABLE_NAMES,
         )
         list(written)
     artifacts = list(TABLE_NAMES)
     if include_company_level:
-        write_table_csv(result.quality, posixpath.join(target, COMPANY_LEVEL), small=False)
+        write_table_csv(result.quality, posixpath.join(target, COMPANY_LEVEL))
         artifacts.append(COMPANY_LEVEL)
-    run_metadata(result).coalesce(1).write.mode("overwrite").json(
-        posixpath.join(target, RUN_METADATA)
-    )
+    folder = posixpath.join(target, RUN_METADATA)
+    run_metadata(result).coalesce(1).write.json(folder)
+    name_files(spark, folder, "json")
     artifacts.append(RUN_METADATA)
 
-    manifest = create_manifest(spark, target, artifacts)
-    manifest.coalesce(1).write.mode("overwrite").json(posixpath.join(target, MANIFEST))
+    # Files are hashed once; the result is the stored manifest.
+    folder = posixpath.join(target, MANIFEST)
+    hashed = create_manifest(spark, target, artifacts)
+    hashed.write.json(folder)
+    name_files(spark, folder, "json")
+    manifest = spark.read.schema(hashed.schema).json(folder).orderBy("filename")
     return ExportResult(result.source_name, target, (*artifacts, MANIFEST), manifest)
 
 

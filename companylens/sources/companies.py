@@ -45,6 +45,7 @@ MISSING_TOKENS = [
 REGISTER_MISSING_TOKENS = MISSING_TOKENS + ["n.d.", "n.d", "N.D.", "N/D"]
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
 SOURCES = ("synthetic", "register")
@@ -71,6 +72,18 @@ def coerce_integer(column: Column, name: str) -> Column:
     ).otherwise(column.cast("long"))
 
 
+def coerce_whole_text(column: Column, name: str) -> Column:
+    """Whole number from text, exact to the last digit of a 64-bit integer.
+
+    Digits never pass through a double; other notations (``1.0``, ``1e3``) do.
+    """
+    exact = F.trim(column).try_cast("long")
+    too_large = F.raise_error(F.lit(f"Whole number out of range: {name}")).cast("long")
+    return F.when(
+        column.rlike(WHOLE_NUMBER), F.when(exact.isNull(), too_large).otherwise(exact)
+    ).otherwise(coerce_integer(coerce_number(column), name))
+
+
 def standardize_types(df: DataFrame, tokens: Sequence[str] = MISSING_TOKENS) -> DataFrame:
     """Standard types for the ten source columns. Nothing is imputed."""
 
@@ -84,11 +97,12 @@ def standardize_types(df: DataFrame, tokens: Sequence[str] = MISSING_TOKENS) ->
     for name in df.columns:
         if name in INTEGER_COLUMNS:
             kind = df.schema[name].dataType
-            whole = (
-                F.col(name).cast("long")
-                if isinstance(kind, T.IntegralType)
-                else coerce_integer(number(name), name)
-            )
+            if isinstance(kind, T.IntegralType):
+                whole = F.col(name).cast("long")
+            elif isinstance(kind, T.StringType):
+                whole = coerce_whole_text(missing_to_null(F.col(name), tokens), name)
+            else:
+                whole = coerce_integer(number(name), name)
             columns.append(whole.alias(name))
         elif name in MONEY_COLUMNS:
             columns.append(number(name).alias(name))

@@ -2,6 +2,9 @@
 
 import hashlib
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +60,7 @@ def test_line_breaks_in_quotes_need_multiline(spark, tmp_path):
         ([HEADER, "1,NA,,ONDA,1,1,1,1,1,X"], "missing_company_name"),
         ([HEADER, "x,A SL,,ONDA,1,1,1,1,1,X"], "missing_record_order"),
         ([HEADER, "1.5,A SL,,ONDA,1,1,1,1,1,X"], "whole numbers"),
+        ([HEADER, "99999999999999999999,A SL,,ONDA,1,1,1,1,1,X"], "out of range"),
     ],
 )
 def test_rejected_files(spark, tmp_path, lines, message):
@@ -65,6 +69,16 @@ def test_rejected_files(spark, tmp_path, lines, message):
         companies.read_companies(spark, path)
 
 
+def test_long_keys_keep_every_digit(spark, tmp_path):
+    keys = [9007199254740992, 9007199254740993, -9223372036854775808, 5, 1000]
+    texts = [*map(str, keys[:3]), " +5 ", "1e3"]
+    lines = [f"{k},A{i} SL,,ONDA,1.0,1,1,1,1,X" for i, k in enumerate(texts)]
+    path = write_csv(tmp_path / "long.csv", [HEADER, *lines])
+    rows = companies.read_companies(spark, path).collect()
+    assert sorted(r.record_order for r in rows) == sorted(keys)
+    assert {r.employees_latest for r in rows} == {1}
+
+
 def test_header_of_every_file_counts(spark, tmp_path):
     folder = tmp_path / "many"
     folder.mkdir()
@@ -160,7 +174,29 @@ def test_export(spark, tmp_path, result):
 
     with pytest.raises(FileExistsError):
         export.export_result(result, str(target), overwrite=False)
-    export.export_result(result, str(target))
+    again = export.export_result(result, str(target))
+    tables = lambda e: [tuple(r) for r in e.manifest.collect() if "run_metadata" not in r.filename]
+    assert tables(again) == tables(exported)
+
+
+def test_overwrite_leaves_nothing_behind(spark, tmp_path, result):
+    target = tmp_path / "out"
+    export.export_result(result, str(target), include_company_level=True)
+    (target / "old_table").mkdir()
+    (target / "old_table" / "part-00000.csv").write_text("x")
+    exported = export.export_result(result, str(target), include_company_level=False)
+    left = {p.name for p in target.iterdir() if p.is_dir()}
+    assert left == set(exported.artifacts)
+    assert not {export.COMPANY_LEVEL, "old_table"} & left
+
+
+def test_export_text_of_numbers(spark):
+    numbers = [0.0, -0.0, 0.9, 1 / 3, -1234567.891234, 1e10, 123456789012.0, 0.00001234, 5e-324, 2.5, None]
+    texts = ["0", "0", "0.9", "0.3333333333", "-1234567.891", "1e+10", "1.23456789e+11", "1.234e-05", None, "2.5", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    found = [r.x for r in export.csv_text(rows).orderBy(F.col("i").cast("int")).collect()]
+    for text, expected, number in zip(found, texts, numbers, strict=True):
+        assert number == 5e-324 or text == expected
 
 
 def test_publication_guard(tmp_path, result):
@@ -171,6 +207,11 @@ def test_publication_guard(tmp_path, result):
             export.export_result(private, str(path), public_root=f"file://{root}")
     exported = export.export_result(private, str(tmp_path / "reports2"), public_root=str(root))
     assert export.COMPANY_LEVEL not in exported.artifacts
+    with pytest.raises(ContractError, match="public_root"):
+        export.export_result(private, str(tmp_path / "elsewhere"))
+    with pytest.raises(ContractError, match="Private"):
+        export.export_result(private, os.path.relpath(root / "x"), public_root=str(root))
+    assert export._location(str(root)) == export._location(f"file://{root}/../reports")
     assert export.check_publication("register", str(root), str(root), True) == str(root)
     assert export.check_publication("synthetic", str(root), str(root)) == str(root)
 
@@ -206,6 +247,15 @@ def test_geographic_audit(spark, tmp_path, quality):
     assert mapping.count() == 5
 
 
+def test_batch_job_starts_as_a_file():
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for command in ([os.path.join(top, "run.py")], ["-m", "companylens"]):
+        done = subprocess.run(
+            [sys.executable, *command, "--help"], cwd=top, capture_output=True, text=True, timeout=120, check=False
+        )
+        assert done.returncode == 0 and "--public-root" in done.stdout
+
+
 def test_batch_job(spark, tmp_path, capsys):
     path = write_csv(tmp_path / "companies.csv", [HEADER, *GOOD])
     main(["--path", path, "--output", str(tmp_path / "out"), "--ranking-size", "2"])
