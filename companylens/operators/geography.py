@@ -88,33 +88,43 @@ def create_mapping_template(inventory: DataFrame) -> DataFrame:
 
 
 def apply_mapping(df: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Add ``municipality_canonical`` from a reviewed mapping.
+    """Add ``municipality_canonical`` and ``municipality_review_status`` from a mapping.
 
     Many-to-one by contract: labels are unique in the mapping, so no record is
-    repeated. The original label is kept; labels outside the mapping get null.
+    repeated. The original label is kept; a mapped null label is a label like any
+    other. Rows of the mapping that are still pending are applied too, and their
+    status says so; labels outside the mapping get null in both columns.
     """
     require_columns(mapping, MAPPING_COLUMNS, "applying a mapping")
     mapping = materialize(mapping.select(*MAPPING_COLUMNS), "mapping")
     enforce(mapping_report(mapping), "the municipality mapping")
     label = text.normalize_geographic_text(F.col("municipality"))
-    # Heaviest labels first, should the mapping be too large to broadcast.
-    uses = (
-        df.groupBy("municipality")
-        .agg(F.count(F.lit(1)).alias("uses"))
-        .groupBy(label.alias("__label"))
-        .agg(F.sum("uses").alias("uses"))
-    )
-    labelled = df.withColumn("__label", label)
+    # Raw labels are few: each is normalised and looked up once, with its number of records.
+    used = df.groupBy("municipality").agg(F.count(F.lit(1)).alias("uses"))
     canonical = mapping.select(
-        F.col("municipality_original").alias("__label"), "municipality_canonical"
+        F.col("municipality_original").alias("__mapped"),
+        "municipality_canonical",
+        F.col("review_status").alias("municipality_review_status"),
     )
-    weighted = canonical.join(uses, "__label").select(
-        "__label", "municipality_canonical", "uses"
+    looked_up = (
+        used.withColumn("__label", label)
+        .join(canonical, F.col("__label").eqNullSafe(F.col("__mapped")))
+        .select("municipality", "municipality_canonical", "municipality_review_status", "uses")
     )
     spread = [c for c in ("record_order",) if c in df.columns] or None
-    return join_by_key(labelled, weighted, ["__label"], "uses", spread).drop("__label")
+    return join_by_key(df, looked_up, ["municipality"], "uses", spread)
 
 
 def create_canonical_summary(df: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Place summary by reviewed canonical label."""
-    return summarize_places(apply_mapping(df, mapping), "municipality_canonical")
+    """Place summary by canonical label; the labelled records are stored once."""
+    needed = [
+        "municipality",
+        EMPLOYEES,
+        REVENUE,
+        EBITDA,
+        "ebitda_margin",
+        "has_adverse_legal_status",
+        "has_negative_latest_ebitda",
+    ]
+    labelled = apply_mapping(df.select(*needed), mapping).drop("municipality")
+    return summarize_places(materialize(labelled, "labelled"), "municipality_canonical")

@@ -1,7 +1,7 @@
 """Company table derived from the sales tables.
 
-A company is a customer. Its latest and previous periods are the years 2000 and
-1999: revenue is the discounted price of its order lines, EBITDA is revenue
+A company is a customer. Its latest period is the last year that the orders
+cover to its end, unless another one is asked for: revenue is the discounted price of its order lines, EBITDA is revenue
 less the retail cost of the parts, and head count is its number of orders.
 Names carry legal markers, and labels carry case, spacing and accent variants,
 by rule, so that every cleaning step has work to do.
@@ -16,29 +16,36 @@ from companylens.operators.distributed import materialize
 from companylens.plans.pipeline import quality_layer
 from companylens.schema import NO_SHAREHOLDER_SENTENCE, SOURCE_COLUMNS
 
-LATEST_YEAR = 2000
+
+def last_full_year(spark: SparkSession, sf_dir: str) -> int:
+    """Last calendar year that the order dates cover up to its last day."""
+    newest = _table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).first()[0]
+    if newest is None:
+        return 1970
+    return newest.year if (newest.month, newest.day) == (12, 31) else newest.year - 1
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def company_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten source columns for every customer.
+def company_view(spark: SparkSession, sf_dir: str, latest_year: int | None = None) -> DataFrame:
+    """Ten source columns for every customer, for a year and the year before.
 
     Orders are cut to the two periods first (a pushed-down date range), so the
     order lines shrink before they meet the parts. Lines are summed per order
     and then per customer: a customer with very many lines is reduced on the
     way.
     """
+    year = latest_year or last_full_year(spark, sf_dir)
     orders = (
         _table(spark, sf_dir, "orders")
-        .where(F.col("o_orderdate") >= F.lit(f"{LATEST_YEAR - 1}-01-01").cast("timestamp"))
-        .where(F.col("o_orderdate") < F.lit(f"{LATEST_YEAR + 1}-01-01").cast("timestamp"))
+        .where(F.col("o_orderdate") >= F.lit(f"{year - 1}-01-01").cast("timestamp"))
+        .where(F.col("o_orderdate") < F.lit(f"{year + 1}-01-01").cast("timestamp"))
         .select(
             "o_orderkey",
             "o_custkey",
-            (F.year("o_orderdate") == LATEST_YEAR).alias("is_latest"),
+            (F.year("o_orderdate") == year).alias("is_latest"),
         )
     )
     price = F.col("l_extendedprice").cast("decimal(12,2)")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +13,7 @@ from companylens.functions import text
 from companylens.operators import (
     clean,
     filters,
+    finance,
     geography,
     presentation,
     quality,
@@ -23,7 +25,7 @@ from companylens.operators import (
 from companylens.operators.distributed import fresh_path, materialize, spread_small_input
 from companylens.operators.quantiles import exact_quantiles
 from companylens.plans.company_view import company_layer, source_layer
-from companylens.plans.pipeline import PipelineResult, create_analytical_tables
+from companylens.plans.pipeline import PipelineResult, create_analytical_tables, run_pipeline
 from companylens.schema import (
     CLEAN_COLUMNS,
     COVERAGE_COLUMNS,
@@ -34,6 +36,7 @@ from companylens.schema import (
     REVENUE,
     RISK_REASONS,
     SOURCE_COLUMNS,
+    TABLE_NAMES,
 )
 from companylens.sinks import export
 from companylens.sources import companies, contracts
@@ -96,14 +99,13 @@ def duplicate_groups(spark, sf):
 def duplicate_documents(spark, sf):
     """Whole document texts as match keys; repeated texts found and flagged.
 
-    Texts are long, so their digests are shuffled and compared. Runs the path
-    for key tables that are too large to broadcast.
+    Texts are long, so their digests are shuffled and compared.
     """
     key = text.create_company_match_key(F.col("text"))
     keyed = materialize(
         documents(spark, sf).select("doc_id", F.sha2(key, 256).alias("match_key")), "document-keys"
     )
-    flagged = clean.add_duplicate_flags(keyed, "match_key", "doc_id", broadcast_bytes=0)
+    flagged = clean.add_duplicate_flags(keyed, "match_key", "doc_id")
     return flagged.select("doc_id", "potential_duplicate", "potential_duplicate_count")
 
 
@@ -137,8 +139,15 @@ def contract_report(spark, sf):
 
 
 def stage_integrity(spark, sf):
-    layer = company_layer(spark, sf)
-    stages = {"source": source_layer(spark, sf), "quality": layer}
+    """All four stages, each made from the one before."""
+    source = source_layer(spark, sf)
+    cleaned = clean.clean_companies(source)
+    stages = {
+        "source": source,
+        "clean": cleaned,
+        "financial": finance.add_financial_features(cleaned),
+        "quality": company_layer(spark, sf),
+    }
     report = contracts.stage_report(stages)
     source_digest = F.first("key_digest").alias("first_digest")
     digests = report.agg(source_digest, F.count_distinct("key_digest").alias("distinct_digests"))
@@ -229,16 +238,13 @@ def percentile_chart(spark, sf):
 
 
 def order_price_percentiles(spark, sf):
-    """Quantiles per order status by brackets and exact counts, the path for large frames."""
+    """Quantiles per order status; three groups that hold all rows."""
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     values = exact_quantiles(
         orders,
         ["o_totalprice"],
         [0.25, 0.5, 0.75, 0.99],
         ["o_orderstatus"],
-        spread_by=["o_orderkey"],
-        accuracy=200,
-        small_frame=0,
     )
     names = ["p25", "p50", "p75", "p99"]
     return rounded(
@@ -283,7 +289,25 @@ def leading_municipality(spark, sf):
 
 
 def executive_briefing(spark, sf):
-    return rounded(presentation.executive_briefing(company_layer(spark, sf)))
+    """The measures, and what the written text says about them, read back from it."""
+    row = presentation.executive_briefing(company_layer(spark, sf))
+    bold = F.regexp_extract_all("briefing", F.lit(r"\*\*([^*]*)\*\*"))
+
+    def stated(position: int):
+        plain = F.regexp_replace(F.get(F.col("stated"), F.lit(position)), "[€,k%]", "")
+        return plain.cast("double")
+
+    shown = [
+        "companies", "revenue_k", "ebitda_k", "employees", "median_revenue_k", "median_margin",
+        "eligible", "of_companies", "eligible_share", "issue_rate", "risk_rate",
+    ]
+    read_back = row.withColumn("stated", bold).select(
+        *[c for c in row.columns if c != "briefing"],
+        *[stated(i).alias(f"stated_{name}") for i, name in enumerate(shown)],
+        F.get("stated", F.lit(11)).alias("stated_place"),
+        stated(12).alias("stated_place_share"),
+    )
+    return rounded(read_back)
 
 
 def municipality_inventory(spark, sf):
@@ -295,12 +319,12 @@ def mapping_template(spark, sf):
 
 
 def region_mapping(spark, sf):
-    """Reviewed mapping: every label of a nation gets its region as canonical label."""
+    """Every label of a nation gets its region, a missing one UNKNOWN; one is not reviewed yet."""
     nation = spark.read.parquet(f"{sf}/nation.parquet")
     region = spark.read.parquet(f"{sf}/region.parquet")
     template = geography.create_mapping_template(
         geography.inventory_labels(company_layer(spark, sf))
-    ).where("municipality_original is not null")
+    )
     regions = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         text.create_municipality_match_key(F.col("n_name")).alias("municipality_match_key"),
         F.col("r_name").alias("region_name"),
@@ -308,8 +332,12 @@ def region_mapping(spark, sf):
     return template.join(regions, "municipality_match_key", "left").select(
         "municipality_original",
         "municipality_match_key",
-        F.col("region_name").alias("municipality_canonical"),
-        F.lit("reviewed").alias("review_status"),
+        F.when(F.col("municipality_original").isNull(), "UNKNOWN")
+        .otherwise(F.col("region_name"))
+        .alias("municipality_canonical"),
+        F.when(F.col("municipality_original") == "NATION_7", "pending")
+        .otherwise("reviewed")
+        .alias("review_status"),
         F.lit("nation_to_region").alias("normalization_rule"),
         "notes",
     )
@@ -317,7 +345,9 @@ def region_mapping(spark, sf):
 
 def mapped_companies(spark, sf):
     mapped = geography.apply_mapping(company_layer(spark, sf), region_mapping(spark, sf))
-    return mapped.select("record_order", "municipality", "municipality_canonical")
+    return mapped.select(
+        "record_order", "municipality", "municipality_canonical", "municipality_review_status"
+    )
 
 
 def mapped_summary(spark, sf):
@@ -370,7 +400,7 @@ def health_scores(spark, sf):
         F.array_join(
             F.transform("deductions", lambda d: F.concat(d.factor, F.lit(" "), d.points)), "; "
         ).alias("deductions"),
-        F.size("positives").alias("positive_count"),
+        F.array_join("positives", "; ").alias("positives"),
     )
 
 
@@ -393,13 +423,76 @@ def treemap_rollup(spark, sf):
 def raw_register_roundtrip(spark, sf):
     path = fresh_path(spark, "register")
     companies.write_register(source_layer(spark, sf), path)
-    return companies.read_register(spark, path)
+    return companies.load_source(spark, " Register ", path)
 
 
 def standard_csv_roundtrip(spark, sf):
     path = fresh_path(spark, "companies")
     export.write_download(company_layer(spark, sf).select(*SOURCE_COLUMNS), path)
-    return companies.read_companies(spark, path)
+    return companies.load_source(spark, "synthetic", path)
+
+
+def long_keys_roundtrip(spark, sf):
+    """Keys beyond 2**53 through a CSV file."""
+    path = fresh_path(spark, "long-keys")
+    shifted = source_layer(spark, sf).withColumn(
+        "record_order", F.col("record_order") + F.lit(9007199254740992)
+    )
+    export.write_download(shifted.select(*SOURCE_COLUMNS), path)
+    return companies.read_companies(spark, path).select("record_order", "company_name")
+
+
+def mapping_roundtrip(spark, sf):
+    """Review template through its file."""
+    path = fresh_path(spark, "mapping")
+    export.write_download(mapping_template(spark, sf), path)
+    return companies.read_mapping(spark, path)
+
+
+def label_texts(spark, sf):
+    """Percentages and amounts as the reports write them."""
+
+    def label(column: str, digits: int, write) -> Column:
+        # Adding zero turns a negative zero into a plain one.
+        value = F.round(column, digits) + F.lit(0.0)
+        return F.when(value.isNotNull(), write(value))
+
+    return company_layer(spark, sf).select(
+        "record_order",
+        label(REVENUE, 1, text.thousands_label).alias("revenue_label"),
+        label("ebitda_margin", 3, text.percent_label).alias("margin_label"),
+        label("revenue_growth", 3, lambda c: text.percent_label(c, signed=True)).alias("growth_label"),
+    )
+
+
+def geographic_audit(spark, sf):
+    """Inventory and template as written, read back."""
+    inventory, template = fresh_path(spark, "inventory"), fresh_path(spark, "template")
+    export.export_geographic_audit(company_layer(spark, sf), inventory, template)
+    rows = spark.read.option("header", True).csv(inventory)
+    mapping = companies.read_mapping(spark, template).select(
+        F.col("municipality_original").alias("__label"), "review_status"
+    )
+    return rows.join(mapping, F.col("municipality_original").eqNullSafe(F.col("__label"))).select(
+        "municipality_original",
+        F.col("inventory_id").cast("long"),
+        F.col("company_count").cast("long"),
+        F.col("employee_count").cast("long"),
+        "review_status",
+    )
+
+
+def pipeline_run(spark, sf):
+    """Rows of every stage and table of a run over files."""
+    path = fresh_path(spark, "run-input")
+    source_layer(spark, sf).write.parquet(path)
+    result = run_pipeline(spark, "synthetic", path, "parquet")
+    frames = {**result.stages, **result.tables}
+    counts = [
+        df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count"))
+        for name, df in frames.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 def _result(spark, sf) -> PipelineResult:
@@ -415,12 +508,36 @@ def _result(spark, sf) -> PipelineResult:
 
 
 def run_metadata(spark, sf):
-    return export.run_metadata(_result(spark, sf)).drop("generated_at_utc", "limitations")
+    described = export.run_metadata(_result(spark, sf)).drop("generated_at_utc")
+    return described.withColumn("limitations", F.array_join("limitations", " "))
 
 
 def export_manifest(spark, sf):
+    """Each exported table read back, and whether its files are what the manifest says."""
     exported = export.export_result(_result(spark, sf), fresh_path(spark, "export"))
-    return exported.manifest
+    stored = exported.manifest.withColumn("artifact", F.split("filename", "/")[0])
+    tables = [*TABLE_NAMES, export.COMPANY_LEVEL]
+    recounted = export.create_manifest(spark, exported.directory, tables).select(
+        "filename", F.col("size_bytes").alias("size_again"), F.col("sha256").alias("sha256_again")
+    )
+    same = (F.col("size_bytes") == F.col("size_again")) & (F.col("sha256") == F.col("sha256_again"))
+    agreed = (
+        stored.where(F.col("artifact").isin(tables))
+        .join(recounted, "filename", "full")
+        .groupBy("artifact")
+        .agg(F.every(F.coalesce(same, F.lit(False))).alias("files_agree"))
+    )
+    sizes = []
+    for name in tables:
+        table = spark.read.option("header", True).csv(exported.get_artifact(name))
+        sizes.append(
+            table.agg(
+                F.lit(name).alias("artifact"),
+                F.count(F.lit(1)).alias("row_count"),
+                F.lit(len(table.columns)).cast("long").alias("column_count"),
+            )
+        )
+    return reduce(lambda a, b: a.unionByName(b), sizes).join(agreed, "artifact")
 
 
 QUERIES: dict[str, Query] = {
@@ -476,6 +593,11 @@ QUERIES: dict[str, Query] = {
         treemap_rollup,
         raw_register_roundtrip,
         standard_csv_roundtrip,
+        long_keys_roundtrip,
+        mapping_roundtrip,
+        label_texts,
+        geographic_audit,
+        pipeline_run,
         run_metadata,
         export_manifest,
     )

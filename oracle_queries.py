@@ -32,18 +32,33 @@ def rounded(expression: str, name: str) -> str:
     return f"round({expression}, {3 if name.endswith('_k_eur') else 8}) as {name}"
 
 
+def grouped(expression: str) -> str:
+    """Number with one decimal and thousands separators."""
+    size = f"round(abs({expression}), 1)"
+    whole = f"cast(floor({size}) as bigint)"
+    tenth = f"cast(round(({size} - floor({size})) * 10) as bigint)"
+    sign = f"case when {expression} < 0 and {size} > 0 then '-' else '' end"
+    return f"({sign} || format('{{:,}}', {whole}) || '.' || {tenth})"
+
+
+def percent(expression: str) -> str:
+    return f"({grouped(f'({expression}) * 100')} || '%')"
+
+
 REV, REV0 = "operating_revenue_latest_k_eur", "operating_revenue_previous_k_eur"
 EB, EB0 = "ebitda_latest_k_eur", "ebitda_previous_k_eur"
 EMP = "employees_latest"
 
 SOURCE = f"""
+latest as (select case when month(max(o_orderdate)) = 12 and day(max(o_orderdate)) = 31 then year(max(o_orderdate))
+    else year(max(o_orderdate)) - 1 end as latest_year from orders),
 per_order as (
-  select l_orderkey, o_custkey, year(o_orderdate) = 2000 as is_latest,
+  select l_orderkey, o_custkey, year(o_orderdate) = (select latest_year from latest) as is_latest,
     sum(cast(l_extendedprice as decimal(12,2)) * (cast(1 as decimal(3,2)) - cast(l_discount as decimal(3,2)))) as revenue,
     sum(cast(l_extendedprice as decimal(12,2)) * (cast(1 as decimal(3,2)) - cast(l_discount as decimal(3,2)))
       - cast(l_quantity as decimal(6,0)) * cast(p_retailprice as decimal(8,2))) as ebitda
   from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey
-  where year(o_orderdate) in (1999, 2000) group by all),
+  where year(o_orderdate) between (select latest_year - 1 from latest) and (select latest_year from latest) group by all),
 per_company as (
   select o_custkey, nullif(count(*) filter (is_latest), 0) as n,
     cast(sum(revenue) filter (is_latest) as double) / 1000 as r1,
@@ -220,7 +235,8 @@ inventory as (select municipality_original, {WORDS.format('strip_accents(municip
   from labelled group by 1, 2)"""
 
 MAPPED = f"""{LABELS},
-mapped as (select labelled.*, r_name as municipality_canonical from labelled
+mapped as (select labelled.*, case when municipality_original is null then 'UNKNOWN' else r_name end as municipality_canonical,
+    case when municipality_original = 'NATION_7' then 'pending' else 'reviewed' end as municipality_review_status from labelled
   left join nation on {WORDS.format('strip_accents(municipality_original)')} = {WORDS.format('strip_accents(upper(n_name))')}
   left join region on n_regionkey = r_regionkey)"""
 
@@ -353,6 +369,7 @@ ORACLES = {
     ),
     "stage_integrity": over(
         """select 'source' as stage, count(*) as row_count from source union all
+        select 'clean', count(*) from clean union all select 'financial', count(*) from fin union all
         select 'quality', count(*) from q union all
         select 'distinct_key_digests', case when (select count(*) from (select record_order from source except all select record_order from q)) = 0
           then 1 else 2 end"""
@@ -426,12 +443,14 @@ ORACLES = {
         'pending' as review_status, 'identity_pending_review' as normalization_rule, '' as notes from inventory""",
         LABELS,
     ),
-    "mapped_companies": over("select record_order, municipality, municipality_canonical from mapped", MAPPED),
+    "mapped_companies": over(
+        "select record_order, municipality, municipality_canonical, municipality_review_status from mapped", MAPPED
+    ),
     "mapped_summary": over(places("mapped", "municipality_canonical"), MAPPED),
     "mapping_contract": over(
         """select 'unknown_review_status' as "check", 0::bigint as failures union all
         select 'repeated_label', (select count(*) from (select municipality_original from inventory
-          where municipality_original is not null group by 1 having count(*) > 1)) union all
+          group by 1 having count(*) > 1)) union all
         select 'uncovered_label', (select count(*) from inventory where municipality_original is not null
           and municipality_original not in (select municipality_original from mapped where municipality_original is not null))""",
         MAPPED,
@@ -461,10 +480,13 @@ paired as (select * from q, scenarios)"""
     ),
     "health_scores": over(
         f"""select record_order, health_score, grade, {BANDS}, concat_ws('; ', {LISTED}) as deductions,
-        ((not has_incomplete_financial_data)::int + (not has_adverse_legal_status)::int
-          + coalesce(not has_negative_latest_ebitda and {EB} > 0, false)::int
-          + coalesce(not has_revenue_decline and revenue_growth > 0, false)::int
-          + coalesce(ebitda_margin > 0.05, false)::int)::int as positive_count from graded""",
+        concat_ws('; ', case when not has_incomplete_financial_data then 'Complete Financial Reporting' end,
+          case when not has_adverse_legal_status then 'No Adverse Legal Marker' end,
+          case when not has_negative_latest_ebitda and {EB} > 0 then 'Positive Operating EBITDA' end,
+          case when not has_revenue_decline and revenue_growth > 0 then 'Positive YoY Growth (+' || {percent('revenue_growth')} || ')' end,
+          case when ebitda_margin >= 0.15 then 'Strong EBITDA Margin (' || {percent('ebitda_margin')} || ')'
+               when ebitda_margin > 0.05 then 'Stable EBITDA Margin (' || {percent('ebitda_margin')} || ')' end) as positives
+        from graded""",
         GRADED,
     ),
     "grade_distribution": over("select grade, count(*) as record_count from graded group by grade", GRADED),
@@ -497,6 +519,58 @@ paired as (select * from q, scenarios)"""
         false as contains_licensed_data, 'thousand_eur' as currency_unit,
         count(*) filter (has_data_quality_issue) as data_quality_issue_count, 'fully_synthetic' as dataset_type,
         36 as final_column_count, 'companylens' as project, true as public_distribution_allowed, count(*) as row_count,
-        'synthetic' as source, 10 as source_column_count from q"""
+        'synthetic' as source, 10 as source_column_count,
+        'All companies are made up; their figures describe no real region. Not a basis for lending, investing or legal steps. '
+          || 'Legal status is read from words in company names, not from a court register.' as limitations from q"""
+    ),
+    "executive_briefing": over(
+        f"""select k.*, l.*, total_companies::double as stated_companies, round(total_revenue_k_eur, 1) as stated_revenue_k,
+        round(total_ebitda_k_eur, 1) as stated_ebitda_k, total_employees::double as stated_employees,
+        round(median_revenue_k_eur, 1) as stated_median_revenue_k, round(median_ebitda_margin * 100, 1) as stated_median_margin,
+        eligible_companies::double as stated_eligible, total_companies::double as stated_of_companies,
+        round(100 * eligible_companies / total_companies, 1) as stated_eligible_share,
+        round(data_quality_issue_rate * 100, 1) as stated_issue_rate,
+        round(business_risk_signal_rate * 100, 1) as stated_risk_rate, leading_municipality as stated_place,
+        round(leading_share * 100, 1) as stated_place_share from ({KPI}) k, ({LEADER}) l"""
+    ),
+    "long_keys_roundtrip": f"with {SOURCE} select record_order + 9007199254740992 as record_order, company_name from source",
+    "label_texts": over(
+        f"""select record_order, '€' || {grouped(REV)} || 'k' as revenue_label,
+        {percent('round(ebitda_margin, 3)')} as margin_label,
+        case when round(revenue_growth, 3) >= 0 then '+' else '' end || {percent('round(revenue_growth, 3)')} as growth_label from q"""
+    ),
+    "geographic_audit": over(
+        """select municipality_original, row_number() over (order by company_count desc, revenue_total_k_eur desc, municipality_original) as inventory_id,
+        company_count, employee_count, 'pending' as review_status from inventory""",
+        LABELS,
     ),
 }
+ORACLES["mapping_roundtrip"] = ORACLES["mapping_template"]
+
+
+def count_of(sql: str) -> str:
+    return f"(select count(*) from ({sql}))"
+
+
+TABLES = [
+    "scope_comparison",
+    "coverage",
+    "quality_summary",
+    "revenue_concentration",
+    "revenue_percentiles",
+    "company_ranking",
+    "municipality_summary",
+]
+EVERY_COMPANY = over("select record_order from q")
+ORACLES["pipeline_run"] = " union all ".join(
+    [
+        *[f"select '{s}' as name, {count_of(EVERY_COMPANY)} as row_count" for s in ("source", "clean", "financial", "quality")],
+        *[f"select '{t}' as name, {count_of(ORACLES[t])} as row_count" for t in TABLES],
+    ]
+)
+# Columns of the exported tables, in the order of TABLES, and of the company layer.
+WIDTHS = [14, 4, 3, 5, 3, 10, 11, 36]
+ORACLES["export_manifest"] = " union all ".join(
+    f"select '{t}' as artifact, {count_of(ORACLES.get(t, EVERY_COMPANY))} as row_count, {w}::bigint as column_count, true as files_agree"
+    for t, w in zip([*TABLES, "companies_quality_controlled"], WIDTHS, strict=True)
+)

@@ -38,23 +38,28 @@ def test_reviewed_mapping(spark, quality):
         ("ONDA", "ONDA", "Onda", "reviewed", "case", ""),
         ("CASTELLÓ DE LA PLANA", "CASTELLO DE LA PLANA", "Castelló", "reviewed", "case", ""),
         ("UNUSED", "UNUSED", "Unused", "not_applicable", "", ""),
+        ("NULES", "NULES", "Nules", "pending", "", ""),
+        (None, None, "UNKNOWN", "reviewed", "", ""),
     ]
     mapping = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in MAPPING_COLUMNS))
     mapped = geography.apply_mapping(quality, mapping)
-    assert mapped.count() == 10 and mapped.columns == quality.columns + ["municipality_canonical"]
+    assert mapped.count() == 10
+    assert mapped.columns == quality.columns + ["municipality_canonical", "municipality_review_status"]
     found = {r.record_order: r.municipality_canonical for r in mapped.collect()}
     assert found[1] == found[2] == found[8] == "Onda"
-    assert found[5] == found[6] == "Castelló" and found[7] is None and found[4] is None
+    assert found[5] == found[6] == "Castelló" and found[7] is None and found[4] == "UNKNOWN"
+    status = {r.record_order: r.municipality_review_status for r in mapped.collect()}
+    assert (status[1], status[3], status[4], status[7]) == ("reviewed", "pending", "reviewed", None)
     summary = {
         r.municipality_canonical: r.company_count
         for r in geography.create_canonical_summary(quality, mapping).collect()
     }
-    assert summary == {"Onda": 3, "Castelló": 2, None: 5}
+    assert summary == {"Onda": 3, "Castelló": 2, "Nules": 2, "UNKNOWN": 2, None: 1}
     left = {r[0] for r in uncovered_labels(geography.inventory_labels(quality), mapping).collect()}
-    assert left == {"NULES", "PEÑÍSCOLA/PENISCOLA"}
+    assert left == {"PEÑÍSCOLA/PENISCOLA"}
     bad = mapping.unionByName(mapping.limit(1)).withColumn("review_status", F.lit("done"))
     assert {r["check"]: r["failures"] for r in mapping_report(bad).collect()} == {
-        "unknown_review_status": 4, "repeated_label": 1,
+        "unknown_review_status": 6, "repeated_label": 1,
     }
     with pytest.raises(ContractError, match="repeated_label"):
         geography.apply_mapping(quality, bad)
@@ -229,7 +234,7 @@ def test_briefing(quality):
     row = presentation.executive_briefing(quality).first()
     lines = row.briefing.split("\n")
     assert lines[0] == "### 🏛️ Executive Intelligence Briefing" and len(lines) == 16
-    assert "Analysis of **10** corporate entities" in lines[2] and "**73** employees" in lines[2]
-    assert "Primary concentration in **Nules**, accounting for **20.0%**" in lines[12]
+    assert "holds **10** companies" in lines[2] and "**73** employees" in lines[2]
+    assert "in **Nules**: **20.0%** of all" in lines[12]
     empty = presentation.executive_briefing(quality.where("false")).first()
     assert empty.briefing == presentation.EMPTY_BRIEFING
