@@ -42,18 +42,18 @@ from companylens.llm.kernels import (
 from companylens.llm.rows import ROW, in_fold, with_rows
 from companylens.operators.distributed import materialize
 
-FILTER_BYTES = 64 << 20
-BITS_PER_EVENT = 12
-PROBES = 6
+FILTER_BYTES = 32 << 20
+BITS_PER_EVENT = 10
+PROBES = 5
 MIN_COUNT = 2
 FREQUENT = 200_000
 # Entries that a counting task holds before it sends them on.
-HELD = 2_000_000
+HELD = 600_000
 
 _END = np.uint64(0x9D39247E33776D41)
 _BEGIN = np.uint64(0x2AF7398005AAA5C7)
-# Count levels: the distinct whole numbers among powers of 2 ** (1 / 4).
-LEVELS = np.unique(np.floor(2.0 ** (np.arange(0, 4 * 48) / 4))).astype(np.int64)
+# Count levels: the distinct whole numbers among powers of 2 ** (1 / 2).
+LEVELS = np.unique(np.floor(2.0 ** (np.arange(0, 2 * 48) / 2))).astype(np.int64)
 _CENTRE = np.sqrt(LEVELS.astype(float) * np.append(LEVELS[1:] - 1, 2 * LEVELS[-1]))
 # Histogram for the weights: ratio of bigram to unigram probability in steps of 2 ** (1 / 2).
 _RATIOS = 96
@@ -134,12 +134,13 @@ def _count(docs: DataFrame, buckets: int) -> DataFrame:
     def send(kind: int, hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts))
+        small = counts.astype(np.uint32)  # counts of one task's share
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(len(full), kind, np.int32)),
                 pa.array(full.astype(np.int32)),
                 pa.array([hashes[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
-                pa.array([counts[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
+                pa.array([small[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
             ],
             ["kind", "bucket", "hashes", "counts"],
         )
@@ -160,7 +161,7 @@ def _count(docs: DataFrame, buckets: int) -> DataFrame:
     def add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         hashes, counts = _added(
             [
-                (np.frombuffer(h.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int64))
+                (np.frombuffer(h.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint32).astype(np.int64))
                 for h, c in zip(group["hashes"], group["counts"], strict=True)
             ]
         )
@@ -283,6 +284,7 @@ def _weights(histogram: np.ndarray) -> np.ndarray:
         share = bigram / (bigram + 1 - weights[:, None])
         weights = (histogram * share).sum(1) / np.maximum(histogram.sum(1), 1e-9)
         weights = np.clip(weights, 0, 0.999)
+    weights[0] = 0  # a context that was never seen says nothing
     return weights
 
 
@@ -312,10 +314,10 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         least -= 1
         room -= levels.get(least, 0)
     floor = int(LEVELS[least - 1]) if least <= len(LEVELS) else 1 << 62
-    rows = words.where(F.col("n") >= floor).toPandas()  # FREQUENT rows at most
-    hashes = rows["hash"].to_numpy(np.int64).view(np.uint64)
+    rows = words.where(F.col("n") >= floor).toArrow()  # FREQUENT rows at most
+    hashes = rows["hash"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    frequent = hashes[order], rows["n"].to_numpy(np.int64)[order]
+    frequent = hashes[order], rows["n"].to_numpy()[order]
     end_tokens = words.where(F.col("hash") == int(_END.view(np.int64))).first()
     texts = end_tokens["n"] if end_tokens else 0
     model = Model(bits, buckets, tokens, sum(levels.values()), centred, texts, frequent)
