@@ -35,10 +35,10 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 # Limit of a distance: LIMIT + GUARD / sqrt(words). Distances of sound texts of n words
 # scatter up to about 2.7 / sqrt(n) for words and 0.1 + 1.4 / sqrt(n) for characters.
-CHAR_LIMIT = 0.10
-WORD_LIMIT = 0.08
-CHAR_GUARD = 1.5
-WORD_GUARD = 2.0
+CHAR_LIMIT = 0.105
+WORD_LIMIT = 0.085
+CHAR_GUARD = 1.6
+WORD_GUARD = 2.15
 
 _CLASSES = {
     "upper": r"[^A-Z]+",
