@@ -46,7 +46,10 @@ LENGTH = 200
 ANCHOR = 48
 BUCKET_RUNS = 2_000
 # Bytes of suffixes that are sorted together in a task; whole buckets, so it may be passed.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
+
+# Bytes of text whose positions are hashed at once.
+RUN_BYTES = 1 << 20
 
 RUN_SCHEMA = "anchor long, run long, row long, low int, high int"
 SEGMENT_SCHEMA = "anchor long, variants long, row long, low int, segment binary"
@@ -115,7 +118,7 @@ def _runs_of(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             ids = batch.column("row").to_numpy(zero_copy_only=False)
-            for begin, end in blocks(offsets):
+            for begin, end in blocks(offsets, RUN_BYTES):
                 at = offsets[begin : end + 1] - offsets[begin]
                 low, high, anchor, run = anchored_runs(data[offsets[begin] : offsets[end]], at, length)
                 text = np.searchsorted(at, low, side="right") - 1
@@ -263,7 +266,7 @@ def _matches_by_count(segments: DataFrame, length: int, earlier_only: bool) -> D
             data, offsets = text_bytes(batch.column("segment"))
             row = batch.column("row").to_numpy(zero_copy_only=False)
             low = batch.column("low").to_numpy(zero_copy_only=False).astype(np.int64)
-            for begin, end in blocks(offsets):
+            for begin, end in blocks(offsets, RUN_BYTES):
                 at = offsets[begin : end + 1] - offsets[begin]
                 starts, owner = _windows(at, length)
                 sums = prefix_sums(data[offsets[begin] : offsets[end]])
@@ -294,7 +297,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, earlier_only: bool =
     ``docs`` has a unique ``row`` and a ``text``. Ranges of a row may touch or overlap.
     """
     runs = materialize(_runs_of(docs, length), "runs")
-    shared = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Stored, so that the join below has plain shuffles on both sides and splits hot anchors.
+    shared = materialize(
+        runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"),
+        "shared-anchors",
+    )
     candidates = materialize(runs.join(shared, "anchor"), "candidate-runs")
     classes = materialize(
         candidates.groupBy("anchor", "run").agg(
