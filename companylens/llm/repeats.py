@@ -280,10 +280,12 @@ def _matches_by_count(segments: DataFrame, length: int, earlier_only: bool) -> D
                 )
 
     windows = segments.mapInArrow(hash_windows, "window long, row long, low int")
-    counted = (
+    # Stored for the same reason as the shared anchors.
+    counted = materialize(
         windows.groupBy("window")
         .agg(F.count("*").alias("n"), F.min(F.struct("row", "low")).alias("first"))
-        .where("n > 1")
+        .where("n > 1"),
+        "window-counts",
     )
     found = windows.join(counted, "window")
     if earlier_only:
