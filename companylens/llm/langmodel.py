@@ -5,20 +5,21 @@ a Bloom filter once for each level up to q; its count is read back by probing le
 level until one is absent. The filter holds unigrams, and bigrams that occur ``MIN_COUNT``
 times at least, of all training texts.
 
-1. Tasks count n-grams by 64-bit hash and send sorted arrays to hash buckets, which add
-   them up. A frequent n-gram is one entry of each array, so it makes no bucket hot.
-2. Each bucket owns an equal segment of the filter and fills it. The driver only puts the
-   segments together: ``FILTER_BYTES`` at most, whatever the corpus; beyond it the filter is
-   fuller and more of its answers are too high.
+1. Texts are dealt to blocks of about ``TEXT_BLOCK`` bytes by a hash of their row. Each block
+   sends its distinct n-grams, with their counts in training texts, to hash buckets. A
+   frequent n-gram is one entry of each block, so it makes no bucket hot. Pairs are sent as
+   32 bits beside the bucket, which collide far less often than the filter errs.
+2. Each bucket adds the counts up and fills its own segment of the filter, with
+   ``BITS_PER_EVENT`` bits for each entry it counted, so the filter is equally full whatever
+   the corpus. It probes the segment for every block's n-grams and sends the levels back; no
+   task and not the driver ever holds more than one segment.
 3. Bigram and unigram probabilities are interpolated with a weight for each level of the
    context's count (Jelinek-Mercer). The weights come by expectation maximisation from a
    histogram over all training tokens, each left out of its own counts; the histogram's size
    is fixed.
-4. Scoring probes the filter once for each distinct n-gram of a block of texts.
+4. Blocks put the levels to their tokens and store them; weights and scores need only those.
 
-The base score needs exact counts. The ``FREQUENT`` most frequent words are broadcast (a
-bounded table); the rest of the words are looked up by a join on their hash, in which no key
-is frequent.
+The base score needs exact counts of words, which the buckets send back too.
 """
 
 from __future__ import annotations
@@ -42,13 +43,12 @@ from companylens.llm.kernels import (
 from companylens.llm.rows import ROW, in_fold, with_rows
 from companylens.operators.distributed import materialize
 
-FILTER_BYTES = 32 << 20
 BITS_PER_EVENT = 10
 PROBES = 5
 MIN_COUNT = 2
-FREQUENT = 200_000
-# Entries that a counting task holds before it sends them on.
-HELD = 600_000
+# Bytes of text in a block, and of the texts whose n-grams share a bucket, on average.
+TEXT_BLOCK = 4 << 20
+BUCKET_TEXT = 32 << 20
 
 _END = np.uint64(0x9D39247E33776D41)
 _BEGIN = np.uint64(0x2AF7398005AAA5C7)
@@ -88,12 +88,6 @@ def _pairs(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + tokens)
 
 
-def _text_blocks(batch: pa.RecordBatch):
-    data, offsets = text_bytes(batch.column("text"))
-    for low, high in blocks(offsets):
-        yield low, high, *_tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-
-
 class CountFilter:
     """Reads quantised counts from the filter's segments."""
 
@@ -125,146 +119,159 @@ class CountFilter:
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket by the top bits; ``buckets`` is a power of two."""
+    if buckets == 1:
+        return np.zeros(len(hashes), np.uint64)
     return hashes >> np.uint64(65 - buckets.bit_length())
 
 
-def _count(docs: DataFrame, buckets: int) -> DataFrame:
-    """(kind, bucket, hash, n) of all n-grams, added up; kind 1 words, 2 pairs."""
-
-    def send(kind: int, hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cuts))
-        small = counts.astype(np.uint32)  # counts of one task's share
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(full), kind, np.int32)),
-                pa.array(full.astype(np.int32)),
-                pa.array([hashes[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
-                pa.array([small[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
-            ],
-            ["kind", "bucket", "hashes", "counts"],
-        )
+def _cut(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary column with the values between neighbouring cuts."""
+    ends = np.ascontiguousarray(cuts * values.itemsize, np.int32)
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, buffers)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {1: [], 2: []}
-        for batch in batches:
-            for _, _, tokens, before, _ in _text_blocks(batch):
-                for kind, hashes in ((1, tokens), (2, _pairs(before, tokens))):
-                    held[kind].append(np.unique(hashes, return_counts=True))
-                    if sum(len(x[0]) for x in held[kind]) > HELD:
-                        yield send(kind, *_added(held[kind]))
-                        held[kind] = []
-        for kind, parts in held.items():
-            if parts:
-                yield send(kind, *_added(parts))
-
-    def add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        hashes, counts = _added(
-            [
-                (np.frombuffer(h.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint32).astype(np.int64))
-                for h, c in zip(group["hashes"], group["counts"], strict=True)
-            ]
-        )
-        kind, bucket = key[0].as_py(), key[1].as_py()
-        if kind == 2:
-            keep = counts >= MIN_COUNT
-            hashes, counts = hashes[keep], counts[keep]
+
+def _values(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and the cuts between its rows."""
+    data, offsets = text_bytes(column)
+    return data.view(kind), offsets // np.dtype(kind).itemsize
+
+
+class _Block:
+    """Tokens of a block of texts, its distinct words and pairs, and where they stand."""
+
+    def __init__(self, group: pa.Table, buckets: int):
+        self.table = group.sort_by("row")
+        tokens, before, self.owner = _tokens(*text_bytes(self.table["text"]))
+        self.words, self.word_at = np.unique(tokens, return_inverse=True)
+        # Bucket and 32 bits more.
+        pairs = _pairs(before, tokens) >> np.uint64(33 - buckets.bit_length())
+        self.pairs, self.pair_at = np.unique(pairs, return_inverse=True)
+
+
+NGRAM_SCHEMA = "block long, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
+
+
+def _ngrams(blocks_of_docs: DataFrame, buckets: int) -> DataFrame:
+    """Distinct n-grams of each block and bucket, in order, with their training counts."""
+
+    def send(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        own = _Block(group, buckets)
+        train = own.table["train"].to_numpy().astype(float)[own.owner]
+        counts = lambda at, n: np.bincount(at, weights=train, minlength=n).astype(np.uint32)
+        numbers = np.arange(buckets + 1)
+        word_cuts = np.searchsorted(bucket_of(own.words, buckets), numbers)
+        pair_cuts = np.searchsorted(own.pairs >> np.uint64(32), numbers)
+        full = np.flatnonzero(np.diff(word_cuts) + np.diff(pair_cuts))
+        word_cuts = np.append(word_cuts[full], word_cuts[-1])
+        pair_cuts = np.append(pair_cuts[full], pair_cuts[-1])
         return pa.table(
             {
-                "kind": pa.array(np.full(len(hashes), kind, np.int32)),
-                "bucket": pa.array(np.full(len(hashes), bucket, np.int32)),
-                "hash": pa.array(hashes.view(np.int64)),
-                "n": pa.array(counts),
+                "block": pa.array(np.full(len(full), key[0].as_py(), np.int64)),
+                "bucket": pa.array(full.astype(np.int32)),
+                "words": _cut(own.words, word_cuts),
+                "word_counts": _cut(counts(own.word_at, len(own.words)), word_cuts),
+                "pairs": _cut(own.pairs.astype(np.uint32), pair_cuts),
+                "pair_counts": _cut(counts(own.pair_at, len(own.pairs)), pair_cuts),
             }
         )
 
-    parts = docs.select("text").mapInArrow(count, "kind int, bucket int, hashes binary, counts binary")
-    return parts.groupBy("kind", "bucket").applyInArrow(add, "kind int, bucket int, hash long, n long")
+    return blocks_of_docs.groupBy("block").applyInArrow(send, NGRAM_SCHEMA)
+
+
+def fill(hashes: np.ndarray, top: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bytes of a segment with the entries from level ``first`` to ``top`` of each n-gram."""
+    events = int(np.maximum(top - first + 1, 0).sum())
+    size = max(-(-events * BITS_PER_EVENT // 64), 8) * 64
+    bits = np.zeros(size, bool)
+    active = np.flatnonzero(first <= top)
+    level = first.copy()
+    while len(active):
+        for probe in range(PROBES):
+            bits[CountFilter.places(hashes[active], level[active], probe, size).astype(np.int64)] = True
+        level[active] += 1
+        active = active[level[active] <= top[active]]
+    return np.packbits(bits, bitorder="little")
+
+
+# Beside the answers, one row without a block for each bucket: training tokens, and its
+# numbers of words by level.
+ANSWER_SCHEMA = (
+    "block long, bucket int, word_levels binary, word_counts binary, pair_levels binary, "
+    "tokens long, by_level array<long>"
+)
+
 
+def _answers(ngrams: DataFrame) -> DataFrame:
+    """Levels of each block's n-grams by the filter, and exact training counts of its words."""
+    first_pair = int(level_of(np.array([MIN_COUNT]))[0])
+
+    def answer(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        bucket, n = key[0].as_py(), group.num_rows
+        words, word_cuts = _values(group["words"], np.uint64)
+        pairs, pair_cuts = _values(group["pairs"], np.uint32)
+        words, word_at = np.unique(words, return_inverse=True)
+        pairs, pair_at = np.unique(pairs, return_inverse=True)
+        pairs = pairs.astype(np.uint64) | np.uint64(bucket << 32)
+
+        def added(column: str, at: np.ndarray, size: int) -> np.ndarray:
+            return np.bincount(at, weights=_values(group[column], np.uint32)[0], minlength=size).astype(np.int64)
+
+        word_counts = added("word_counts", word_at, len(words))
+        pair_counts = added("pair_counts", pair_at, len(pairs))
+        top = level_of(np.concatenate((word_counts, pair_counts)))
+        first = np.repeat([1, first_pair], [len(words), len(pairs)])
+        segment = CountFilter(fill(np.concatenate((words, pairs)), top, first), 1)
+        word_levels = segment.levels(words).astype(np.uint8)[word_at]
+        pair_levels = segment.levels(pairs, first_pair).astype(np.uint8)[pair_at]
+        by_level = np.bincount(top[: len(words)], minlength=len(LEVELS) + 1)
+        by_level[0] = 0  # words of held-out texts only
+        none = pa.nulls(1, pa.binary())
+        return pa.table(
+            {
+                "block": pa.concat_arrays([group["block"].combine_chunks(), pa.nulls(1, pa.int64())]),
+                "bucket": pa.array(np.full(n + 1, bucket, np.int32)),
+                "word_levels": pa.concat_arrays([_cut(word_levels, word_cuts), none]),
+                "word_counts": pa.concat_arrays([_cut(word_counts[word_at], word_cuts), none]),
+                "pair_levels": pa.concat_arrays([_cut(pair_levels, pair_cuts), none]),
+                "tokens": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([int(word_counts.sum())])]),
+                "by_level": pa.array([None] * n + [by_level.tolist()], pa.list_(pa.int64())),
+            }
+        )
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    hashes = np.concatenate([x[0] for x in parts])
-    counts = np.concatenate([x[1] for x in parts])
-    order = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else []
-    return hashes[first], np.add.reduceat(counts, first) if len(hashes) else counts
+    return ngrams.groupBy("bucket").applyInArrow(answer, ANSWER_SCHEMA)
 
 
 class Model:
-    """What scoring tasks get: the filter, the frequent words and a few numbers."""
+    """A few numbers of the training texts, and the weights."""
 
-    def __init__(self, bits, buckets, tokens, words, centred, texts, frequent):
-        self.filter = CountFilter(bits, buckets)
+    def __init__(self, tokens: int, texts: int, by_level: dict[int, int]):
         self.tokens = tokens  # all training tokens
-        self.words = words  # distinct ones
-        self.centred = centred  # sum of the distinct words' quantised counts
-        self.texts = texts
-        self.frequent = frequent  # sorted hashes and their counts
+        self.words = sum(by_level.values())  # distinct ones
+        # Sum of the distinct words' quantised counts.
+        self.centred = sum(n * _CENTRE[level - 1] for level, n in sorted(by_level.items()))
+        self.begin = int(level_of(np.array([texts]))[0])
         self.weights = np.zeros(len(LEVELS) + 2)
 
-    def probabilities(self, tokens: np.ndarray, before: np.ndarray, without_self: bool = False):
+    def probabilities(self, words: np.ndarray, pairs: np.ndarray, cuts: np.ndarray, without_self: bool = False):
         """Unigram and bigram probability of each token, and the level of its context.
 
-        ``without_self`` takes each token out of the counts it is in.
+        ``words`` and ``pairs`` have the tokens' levels, ``cuts`` the texts' begins and the
+        end. ``without_self`` takes each token out of the counts it is in.
         """
-        unique, inverse = np.unique(tokens, return_inverse=True)
-        word_level = self.filter.levels(unique)
-        centre = np.append(0.0, _CENTRE)
-        unigram = ((centre[word_level] + 1) / (self.centred + self.words + 1))[inverse]
-
-        # A context is the token before, which is a word of this block or the begin of a text.
-        at = np.minimum(np.searchsorted(unique, before), len(unique) - 1)
-        context = np.where(before == _BEGIN, level_of(np.array([self.texts]))[0], word_level[at])
+        unigram = (np.append(0.0, _CENTRE)[words] + 1) / (self.centred + self.words + 1)
+        # A context is the token before, or the begin of a text.
+        context = np.empty(len(words), np.int64)
+        context[1:] = words[:-1]
+        context[cuts[:-1]] = self.begin
         upper = np.append(LEVELS[1:] - 1, 2 * LEVELS[-1]).astype(float)
         context_count = np.append(1.0, upper)[context]
-        pairs, which = np.unique(_pairs(before, tokens), return_inverse=True)
-        pair_level = self.filter.levels(pairs, first=int(level_of(np.array([MIN_COUNT]))[0]))
-        pair_count = np.append(0, LEVELS)[pair_level][which].astype(float)
+        pair_count = np.append(0, LEVELS)[pairs].astype(float)
         if without_self:
             pair_count = np.maximum(pair_count - 1, 0)
             context_count = np.maximum(context_count - 1, 1)
         return unigram, np.minimum(pair_count / context_count, 1.0), context
 
-    def exact(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of frequent words (0 for others), and which tokens are frequent words."""
-        hashes, counts = self.frequent
-        if not len(hashes):
-            return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-        at = np.minimum(np.searchsorted(hashes, tokens), len(hashes) - 1)
-        hit = hashes[at] == tokens
-        return np.where(hit, counts[at], 0), hit
-
-
-def _fill(counted: DataFrame, buckets: int, events: int) -> np.ndarray:
-    """The filter's bytes; each bucket fills its own segment."""
-    wanted = max(events * BITS_PER_EVENT, 8 * 64 * buckets)
-    size = min(wanted, FILTER_BYTES * 8) // buckets // 64 * 64
-
-    def fill(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        bits = np.zeros(size, bool)
-        hashes = group["hash"].to_numpy().view(np.uint64)
-        top = level_of(group["n"].to_numpy())
-        first = np.where(group["kind"].to_numpy() == 2, level_of(np.array([MIN_COUNT]))[0], 1)
-        level = first.copy()
-        active = np.arange(len(hashes))
-        while len(active):
-            for probe in range(PROBES):
-                bits[CountFilter.places(hashes[active], level[active], probe, size).astype(np.int64)] = True
-            level[active] += 1
-            active = active[level[active] <= top[active]]
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        return pa.table({"bucket": [key[0].as_py()], "bits": pa.array([packed], pa.binary())}).cast(
-            pa.schema([("bucket", pa.int32()), ("bits", pa.binary())])
-        )
-
-    segments = counted.groupBy("bucket").applyInArrow(fill, "bucket int, bits binary").collect()
-    out = np.zeros(size // 8 * buckets, np.uint8)
-    for row in segments:
-        at = row["bucket"] * (size // 8)
-        out[at : at + size // 8] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
 
 def _ratio_bin(unigram: np.ndarray, bigram: np.ndarray) -> np.ndarray:
     """0 for an unseen pair, else the bin of the ratio of the two probabilities."""
@@ -288,134 +295,114 @@ def _weights(histogram: np.ndarray) -> np.ndarray:
     return weights
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """Model of all texts of ``docs``, and the stored exact counts (hash, n) of its words."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << max(4, (partitions - 1).bit_length())
-    counted = materialize(_count(docs, buckets), "n-grams")
-    words = counted.where("kind = 1").select("hash", "n")
+LEVEL_SCHEMA = (
+    "row long, train boolean, n_tokens long, n_known long, base_score double, "
+    "word_levels binary, pair_levels binary"
+)
+
+
+def text_levels(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """Model without weights, and the stored token levels and base score of every row.
+
+    ``docs`` has a unique ``row``, a text, and ``train``.
+    """
+    sizes = docs.agg(
+        F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.col("train").cast("int")).alias("texts")
+    ).first()
+    n_bytes = sizes["bytes"] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 << max(4, (max(partitions, n_bytes // BUCKET_TEXT) - 1).bit_length())
+    n_blocks = n_bytes // TEXT_BLOCK + 1
+    dealt = docs.select("row", "text", "train", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).alias("block"))
+
+    answers = materialize(_answers(_ngrams(dealt, buckets)), "levels")
+    numbers = answers.where("block is null")
+    tokens = numbers.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+    table = numbers.select(F.posexplode("by_level").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n"))
+    model = Model(tokens, sizes["texts"] or 0, {r["level"]: r["n"] for r in table.collect() if r["n"]})
+    total = model.tokens + model.words + 1
+
+    def put(key: tuple[pa.Scalar, ...], group: pa.Table, found: pa.Table) -> pa.Table:
+        own = _Block(group, buckets)
+        found = found.sort_by("bucket")
+        n = own.table.num_rows
+        counts = _values(found["word_counts"], np.int64)[0][own.word_at]
+        sizes = np.bincount(own.owner, minlength=n)
+        cuts = np.concatenate(([0], np.cumsum(sizes)))
+        return pa.table(
+            {
+                "row": own.table["row"],
+                "train": own.table["train"],
+                "n_tokens": pa.array(sizes.astype(np.int64)),
+                "n_known": pa.array(np.bincount(own.owner[counts > 0], minlength=n).astype(np.int64)),
+                "base_score": pa.array(np.bincount(own.owner, weights=np.log10((counts + 1) / total), minlength=n)),
+                "word_levels": _cut(_values(found["word_levels"], np.uint8)[0][own.word_at], cuts),
+                "pair_levels": _cut(_values(found["pair_levels"], np.uint8)[0][own.pair_at], cuts),
+            }
+        )
 
-    # One row per level: how many words, their tokens, filter entries.
-    table = (
-        counted.groupBy("kind", _level_column(F.col("n")).alias("level"))
-        .agg(F.count("*").alias("n"), F.sum("n").alias("tokens"))
-        .collect()
+    answered = answers.where("block is not null").select(
+        "block", "bucket", "word_levels", "word_counts", "pair_levels"
     )
-    first = {1: 1, 2: int(level_of(np.array([MIN_COUNT]))[0])}
-    events = sum(r["n"] * (r["level"] - first[r["kind"]] + 1) for r in table)
-    levels = {r["level"]: r["n"] for r in table if r["kind"] == 1}
-    tokens = sum(r["tokens"] for r in table if r["kind"] == 1)
-    centred = sum(n * _CENTRE[level - 1] for level, n in levels.items())
-    bits = _fill(counted, buckets, events)
-
-    least, room = len(LEVELS) + 1, FREQUENT
-    while least > 1 and levels.get(least - 1, 0) <= room:
-        least -= 1
-        room -= levels.get(least, 0)
-    floor = int(LEVELS[least - 1]) if least <= len(LEVELS) else 1 << 62
-    rows = words.where(F.col("n") >= floor).toArrow()  # FREQUENT rows at most
-    hashes = rows["hash"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    frequent = hashes[order], rows["n"].to_numpy()[order]
-    end_tokens = words.where(F.col("hash") == int(_END.view(np.int64))).first()
-    texts = end_tokens["n"] if end_tokens else 0
-    model = Model(bits, buckets, tokens, sum(levels.values()), centred, texts, frequent)
-
-    shared = spark.sparkContext.broadcast(model)
+    levels = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(put, LEVEL_SCHEMA)
+    return model, materialize(levels, "scored")
+
+
+def _level_blocks(batch: pa.RecordBatch):
+    """Parts of a batch with half a million tokens: first and last row, levels, cuts."""
+    words, offsets = text_bytes(batch.column("word_levels"))
+    pairs, _ = text_bytes(batch.column("pair_levels"))
+    for low, high in blocks(4 * offsets):
+        part = slice(offsets[low], offsets[high])
+        yield low, high, words[part], pairs[part], offsets[low : high + 1] - offsets[low]
+
+
+def fit_weights(model: Model, levels: DataFrame) -> None:
+    """Set the model's weights from the training rows of ``levels``."""
+    shared = levels.sparkSession.sparkContext.broadcast(model)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         histogram = np.zeros((len(LEVELS) + 2) * _RATIOS, np.int64)
         for batch in batches:
-            for _, _, tokens, before, _ in _text_blocks(batch):
-                unigram, bigram, context = own.probabilities(tokens, before, without_self=True)
+            for _, _, words, pairs, cuts in _level_blocks(batch):
+                unigram, bigram, context = own.probabilities(words, pairs, cuts, without_self=True)
                 cell = context * _RATIOS + _ratio_bin(unigram, bigram)
                 histogram += np.bincount(cell, minlength=len(histogram))
         cells = np.flatnonzero(histogram)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(histogram[cells])], ["cell", "n"])
 
-    cells = docs.select("text").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    training = levels.where("train").select("word_levels", "pair_levels")
+    cells = training.mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     histogram = np.zeros((len(LEVELS) + 2) * _RATIOS)
     for row in cells.collect():
         histogram[row["cell"]] = row["n"]
     model.weights = _weights(histogram.reshape(-1, _RATIOS))
     shared.unpersist()
-    return model, words
-
-
-def _level_column(n):
-    """``level_of`` as a column: position among the fixed level bounds."""
-    bounds = F.array(*[F.lit(int(x)) for x in LEVELS])
-    return F.size(F.filter(bounds, lambda x: x <= n))
 
 
-SCORED_SCHEMA = (
-    "row long, n_tokens long, known long, base double, score double, "
-    "hashes array<long>, times array<int>"
-)
-
-
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
-    """row, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    total = model.tokens + model.words + 1
+def score(model: Model, levels: DataFrame) -> DataFrame:
+    """row, n_tokens, n_known, train_tokens, base_score and score of every row of ``levels``."""
+    shared = levels.sparkSession.sparkContext.broadcast(model)
+    kept = ["row", "n_tokens", "n_known", "base_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            rows = batch.column("row")
-            for low, high, tokens, before, owner in _text_blocks(batch):
-                n = high - low
-                unigram, bigram, context = own.probabilities(tokens, before)
+            for low, high, words, pairs, cuts in _level_blocks(batch):
+                unigram, bigram, context = own.probabilities(words, pairs, cuts)
                 weight = own.weights[context]
                 logs = np.log10(weight * bigram + (1 - weight) * unigram)
-                counts, frequent = own.exact(tokens)
-                base = np.where(frequent, np.log10((counts + 1) / total), 0.0)
-                # The other words once for each text.
-                rest = np.flatnonzero(~frequent)
-                rest = rest[np.lexsort((tokens[rest], owner[rest]))]
-                new = np.ones(len(rest), bool)
-                new[1:] = (tokens[rest][1:] != tokens[rest][:-1]) | (owner[rest][1:] != owner[rest][:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(rest)))
-                ends = np.zeros(n + 1, np.int32)
-                ends[1:] = np.cumsum(np.bincount(owner[rest][first], minlength=n))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.slice(low, n),
-                        pa.array(np.bincount(owner, minlength=n)),
-                        pa.array(np.bincount(owner[frequent], minlength=n)),
-                        pa.array(np.bincount(owner, weights=base, minlength=n)),
-                        pa.array(np.bincount(owner, weights=logs, minlength=n)),
-                        pa.ListArray.from_arrays(
-                            pa.array(ends), pa.array(tokens[rest][first].view(np.int64))
-                        ),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32))),
-                    ],
-                    ["row", "n_tokens", "known", "base", "score", "hashes", "times"],
+                    [batch.column(c).slice(low, high - low) for c in kept] + [pa.array(np.add.reduceat(logs, cuts[:-1]))],
+                    [*kept, "score"],
                 )
 
-    scored = materialize(docs.select("row", "text").mapInArrow(run, SCORED_SCHEMA), "scored")
-    rare = scored.select(
-        "row", F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("times").alias("times")))
-    )
-    looked_up = (
-        rare.join(words, "hash", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total)))).alias("rare_base"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        )
+    scored = levels.select(*kept, "word_levels", "pair_levels").mapInArrow(
+        run, "row long, n_tokens long, n_known long, base_score double, score double"
     )
-    return scored.join(looked_up, "row", "left").select(
-        "row",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+    return scored.select(
+        "row", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
@@ -429,8 +416,9 @@ def score_corpus(docs: DataFrame, folds: int = 7, held_out_fold: int = 2) -> Dat
     docs = with_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     docs = docs.withColumnRenamed(ROW, "row")
     held_out = in_fold(F.col("doc_id"), folds, held_out_fold)
-    model, words = train(docs.where(~held_out))
-    scores = score(docs, model, words)
+    model, levels = text_levels(docs.withColumn("train", ~held_out))
+    fit_weights(model, levels)
+    scores = score(model, levels)
     return docs.select("doc_id", "row", held_out.alias("held_out")).join(scores, "row").drop("row")
 
 

@@ -8,10 +8,11 @@ import pyarrow as pa
 import pytest
 from llm_brute import base_scores, fold
 
+from companylens.llm import langmodel
 from companylens.llm.features import QUALITY_FEATURES, quality_features
 from companylens.llm.gam import AdditiveModel, classify_quality, fit, keep_good
 from companylens.llm.kernels import mix, text_bytes
-from companylens.llm.langmodel import LEVELS, CountFilter, bucket_of, level_of, score_corpus
+from companylens.llm.langmodel import BITS_PER_EVENT, LEVELS, CountFilter, bucket_of, fill, level_of, score_corpus
 from companylens.llm.queries import QUERIES
 from companylens.llm.toxicity import classify_toxicity
 from companylens.llm.toxicity import fit as fit_terms
@@ -83,6 +84,32 @@ def test_count_filter_reads_levels_back():
     assert (LEVELS[level_of(counts) - 1] <= counts).all()
 
 
+def test_count_filter_grows_with_its_entries():
+    """Ten bits for each entry at every size: as many false answers with many entries as with few."""
+    for n in (2_000, 200_000):
+        hashes = mix(np.arange(1, 2 * n + 1, dtype=np.uint64))
+        top, first = np.full(n, 3), np.ones(n, np.int64)
+        bits = fill(hashes[:n], top, first)
+        assert len(bits) * 8 >= BITS_PER_EVENT * 3 * n
+        found = CountFilter(bits, 1).levels(hashes)
+        assert (found[:n] >= 3).all()
+        assert (found[:n] == 3).mean() > 0.97
+        assert (found[n:] == 0).mean() > 0.97
+
+
+def test_blocks_of_texts_share_the_counts(spark, monkeypatch):
+    """Many blocks and buckets give what one block gives, up to the filter's few false answers."""
+    own = random.Random(4)
+    texts = [" ".join(f"w{own.randrange(80)}" for _ in range(60)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r["doc_id"]: r for r in score_corpus(docs).collect()}
+    monkeypatch.setattr(langmodel, "TEXT_BLOCK", 1_000)
+    monkeypatch.setattr(langmodel, "BUCKET_TEXT", 300)
+    rows = score_corpus(docs).collect()
+    check_base(rows, list(enumerate(texts)))
+    assert all(r["score"] == pytest.approx(whole[r["doc_id"]]["score"], rel=0.02) for r in rows)
+
+
 def auc(labels, scores):
     order = np.argsort(np.argsort(scores)) + 1
     ones = labels == 1
