@@ -7,6 +7,10 @@ An item is found in a document if ``SHARE`` percent of its distinct windows are
 slots agree: along one alignment of both, the same value in the item must always stand for
 the same value in the document.
 
+A capitalised word that begins a text, sentence, line, quote or bracket is a name or a common
+word. Windows that hold one are hashed twice, with the word and with a name in its place, and
+count as found by either hash.
+
 The benchmark is broadcast if its measured size allows it; else the windows are shuffled. Per
 document work is a scan; only documents that share enough windows are read a second time for
 their slots.
@@ -36,21 +40,30 @@ UNITS = (
     "euros cent cents percent degree degrees mph kmh watt watts volt volts"
 ).split()
 
-# A marker that texts hold only by accident, then the type: p name, n number, u unit.
+# A marker that texts hold only by accident, then the type: p name, n number, u unit, s word
+# with a capital where a sentence may begin.
 MARK = "\x01"
 _NAME = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}[\p{L}'’-]*"
+# With the names right after it, so that names of different length fit the same slot.
+_START = (
+    r"(?<![\p{L}\p{N}" + MARK + r"])(?<![\p{L}\p{N}]['’-])(\p{Lu}\p{Ll}[\p{L}'’-]*)(?: +" + MARK + r"p[\p{L}'’-]+)*"
+)
 _NUMBER = r"(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*"
 _UNIT = "(" + MARK + r"n[0-9.,]+) +(" + "|".join(UNITS) + r")\b"
 _BETWEEN = r"(?:(?![.,][0-9])[^\p{L}\p{N}" + MARK + "])+"
 
 
+_S = MARK + "s"
+
+
 def template_tokens(text: Column) -> Column:
     """Lower-case tokens; placeholders are MARK, type and value. None for a null.
 
     Of neighbouring placeholders of one type the first stays, so that names of different
-    length fit the same slot.
+    length fit the same slot. Words where a sentence may begin all stay.
     """
     marked = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" ")), _NAME, f" {MARK}p$0 ")
+    marked = F.regexp_replace(marked, _START, f" {MARK}s$1 ")
     marked = F.regexp_replace(F.lower(marked), _NUMBER, f" {MARK}n$0 ")
     marked = F.regexp_replace(marked, _UNIT, f"$1 {MARK}u$2")
     tokens = F.filter(F.split(marked, _BETWEEN), lambda t: t != "")
@@ -58,7 +71,7 @@ def template_tokens(text: Column) -> Column:
     def once(all_tokens: Column) -> Column:
         def stays(token: Column, i: Column) -> Column:
             same = F.left(F.get(all_tokens, i - 1), F.lit(2)) == F.left(token, F.lit(2))
-            return ~(token.startswith(MARK) & F.coalesce(same, F.lit(False)))
+            return ~(token.startswith(MARK) & ~token.startswith(_S) & F.coalesce(same, F.lit(False)))
 
         return F.filter(all_tokens, stays)
 
@@ -66,7 +79,25 @@ def template_tokens(text: Column) -> Column:
 
 
 def _template(token: Column) -> Column:
-    return F.when(token.startswith(MARK), F.left(token, F.lit(2))).otherwise(token)
+    """The type of a placeholder; a word where a sentence may begin is that word."""
+    return (
+        F.when(~token.startswith(MARK), token)
+        .when(token.startswith(_S), F.substring(token, 3, 1 << 30))
+        .otherwise(F.left(token, F.lit(2)))
+    )
+
+
+def _named(token: Column) -> Column:
+    """As ``_template``, but such a word is a name."""
+    return F.when(token.startswith(_S), F.lit(MARK + "p")).otherwise(_template(token))
+
+
+def _hash_at(templates: Column, i: Column, words: int) -> Column:
+    """Hash of a window, null where it has too few plain words."""
+    parts = [F.get(templates, i + k) for k in range(words)]
+    plain = sum((F.coalesce(~p.startswith(MARK), F.lit(False)).cast("int") for p in parts), F.lit(0))
+    needed = F.least(F.lit(LITERALS), F.size(templates))
+    return F.when(plain >= needed, F.xxhash64(*parts))
 
 
 def _windows(templates: Column, words: int) -> Column:
@@ -74,41 +105,53 @@ def _windows(templates: Column, words: int) -> Column:
 
     Fewer tokens than a window make one window of all of them.
     """
-
-    def window(i: Column) -> Column:
-        parts = [F.get(templates, i + k) for k in range(words)]
-        plain = sum(
-            (F.coalesce(~p.startswith(MARK), F.lit(False)).cast("int") for p in parts), F.lit(0)
-        )
-        needed = F.least(F.lit(LITERALS), F.size(templates))
-        return F.when(plain >= needed, F.xxhash64(*parts))
-
     last = F.greatest(F.size(templates) - words, F.lit(0))
-    hashed = F.transform(F.sequence(F.lit(0), last), window)
+    hashed = F.transform(F.sequence(F.lit(0), last), lambda i: _hash_at(templates, i, words))
     return F.when(F.size(templates) > 0, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
+def _named_windows(tokens: Column, words: int) -> Column:
+    """Hash of each window that holds a word where a sentence may begin, as a name; else null."""
+
+    def window(named: Column, i: Column) -> Column:
+        return F.when(F.exists(F.slice(tokens, i + 1, words), lambda t: t.startswith(_S)), _hash_at(named, i, words))
+
+    last = F.greatest(F.size(tokens) - words, F.lit(0))
+    hashed = bound(F.transform(tokens, _named), lambda t: F.transform(F.sequence(F.lit(0), last), lambda i: window(t, i)))
+    some = F.exists(tokens, lambda t: t.startswith(_S))
+    return F.when(some, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
 def _tokenised(table: DataFrame, key: str, words: int) -> DataFrame:
+    """key, tokens, and the hashes of windows: ``windows``, and ``named`` with names where sentences begin."""
     tokens = table.select(key, template_tokens(F.col("text").cast("string")).alias("tokens"))
     return tokens.select(
-        key, "tokens", bound(F.transform("tokens", _template), lambda t: _windows(t, words)).alias("windows")
+        key,
+        "tokens",
+        bound(F.transform("tokens", _template), lambda t: _windows(t, words)).alias("windows"),
+        _named_windows(F.col("tokens"), words).alias("named"),
     )
 
 
-def benchmark_windows(benchmark: DataFrame, words: int = WORDS) -> DataFrame:
-    """(item, window, at, n_windows, slots) of the benchmark, one row for each window."""
-    rows = _tokenised(benchmark, "item", words).select(
-        "item", "tokens", F.posexplode("windows").alias("at", "window")
-    )
-    rows = rows.where(F.col("window").isNotNull()).select(
-        "item", "window", "at", F.slice("tokens", F.col("at") + 1, words).alias("item_tokens")
+def _places(rows: DataFrame, key: str, at: str, words: int) -> DataFrame:
+    """(key, at, hash, window, tokens): a row for each window and hash; ``window`` is its first hash."""
+    rows = rows.select(key, "tokens", "named", F.posexplode("windows").alias(at, "window"))
+    rows = rows.where(F.col("window").isNotNull())
+    hashes = F.array_distinct(F.array_compact(F.array("window", F.get("named", F.col(at)))))
+    return rows.select(
+        key, at, "window", F.explode(hashes).alias("hash"), F.slice("tokens", F.col(at) + 1, words).alias("tokens")
     )
+
+
+def benchmark_windows(benchmark: DataFrame, words: int = WORDS) -> DataFrame:
+    """(item, window, hash, at, n_windows, item_tokens) of the benchmark, a row for each window and hash."""
+    rows = _places(_tokenised(benchmark, "item", words), "item", "at", words).withColumnRenamed("tokens", "item_tokens")
     totals = rows.groupBy("item").agg(F.count_distinct("window").alias("n_windows"))
     return rows.join(totals, "item")
 
 
 def _meet(windows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
-    return windows.join(F.broadcast(table) if small else table, "window")
+    return windows.join(F.broadcast(table) if small else table, "hash")
 
 
 def find_contamination(
@@ -123,14 +166,14 @@ def find_contamination(
     """
     table = materialize(benchmark_windows(benchmark, words), "benchmark-windows")
     small = table.count() <= BROADCAST_WINDOWS
-    distinct = table.select("item", "window", "n_windows").distinct()
+    distinct = table.select("item", "window", "hash", "n_windows").distinct()
     enough = 100 * F.col("n_found") >= share * F.col("n_windows")
 
-    scanned = _tokenised(docs, "row", words).select("row", F.explode(F.array_distinct("windows")).alias("window"))
+    scanned = _tokenised(docs, "row", words).select("row", F.explode(F.array_union("windows", "named")).alias("hash"))
     candidates = materialize(
-        _meet(scanned.where(F.col("window").isNotNull()), distinct, small)
+        _meet(scanned.where(F.col("hash").isNotNull()), distinct, small)
         .groupBy("row", "item", "n_windows")
-        .agg(F.count("*").alias("n_found"))
+        .agg(F.count_distinct("window").alias("n_found"))
         .where(enough)
         .select("row", "item"),
         "candidates",
@@ -138,14 +181,15 @@ def find_contamination(
 
     # Second look: the aligned slots of those documents.
     again = docs.join(candidates.select("row").distinct(), "row")
-    places = _tokenised(again, "row", words).select("row", "tokens", F.posexplode("windows").alias("place", "window"))
-    places = places.where(F.col("window").isNotNull()).select(
-        "row", "place", "window", F.slice("tokens", F.col("place") + 1, words).alias("tokens")
-    )
+    places = _places(_tokenised(again, "row", words), "row", "place", words).drop("window")
     aligned = _meet(places, table, small).join(candidates, ["row", "item"], "left_semi")
+    # A word where a sentence may begin stands for the same as a name elsewhere.
+    same = lambda tokens: F.transform(
+        tokens, lambda t: F.when(t.startswith(_S), F.concat(F.lit(MARK + "p"), F.substring(t, 3, 1 << 30))).otherwise(t)
+    )
     pairs = F.filter(
-        F.arrays_zip(F.col("item_tokens").alias("theirs"), F.col("tokens").alias("ours")),
-        lambda p: p["theirs"].startswith(MARK),
+        F.arrays_zip(same(F.col("item_tokens")).alias("theirs"), same(F.col("tokens")).alias("ours")),
+        lambda p: p["theirs"].startswith(MARK) & p["ours"].startswith(MARK),
     )
     aligned = materialize(
         aligned.select("row", "item", "n_windows", "window", (F.col("place") - F.col("at")).alias("shift"), pairs.alias("slots")),

@@ -75,6 +75,23 @@ def test_templates(spark):
     assert {r["n_slots"] for r in found if r["item_id"] == 1} == {7}
 
 
+def test_names_where_sentences_begin(spark):
+    """Other names in a copy, also at the begin of texts, sentences, lines, quotes and brackets."""
+    item = (
+        "Alice has 12 apples and two green pears in a basket. Alice buys 5 more apples at the market today. "
+        "How many apples are there in the basket?\nCarol asks them. \"Alice (Bob knows) must share them with all of us\"."
+    )
+    same = item.replace("Alice", "Mary Ann").replace("Bob", "Tom").replace("Carol", "Sue").replace("12", "17")
+    torn = same.replace("Mary Ann", "Peter", 1)  # one person became two
+    docs = [(1, f"Before this. {item} After."), (2, f"before this. {same} After."), (3, torn), (4, f"Question: {same}")]
+    found = contaminated_documents(
+        spark.createDataFrame(docs + [(5, item.lower())], "doc_id long, text string"),
+        spark.createDataFrame([(1, item)], "item_id long, text string"),
+    ).collect()
+    assert {r["doc_id"] for r in found} >= {1, 2, 4}
+    assert 3 not in {r["doc_id"] for r in found}
+
+
 def test_decontamination_of_untidy_rows(spark, untidy, nothing):
     base = untidy.where("doc_id = 3").first()["text"]
     items = spark.createDataFrame([(1, base), (1, base), (None, base), (4, None)], "item_id long, text string")
