@@ -260,19 +260,19 @@ def main_text(reader: PageReader, content: int | None, named: bool, constant: fr
     """Blocks of the content element that are left, in page order.
 
     A page without the host's content element falls back on its own article or main, then
-    on its whole body.
+    on its whole body. Constant texts of the host go, also inside an article or main.
     """
     allowed = [b for b in reader.blocks if not (b[0] and b[0][-1].skip)]
     within = [b for b in allowed if content is not None and any(_hash(e.path) == content for e in b[0])]
     if not within or not named:
         own = [b for b in allowed if any(e.inside for e in b[0])]
         if own:
-            return "\n\n".join(text for _, text in own)
+            within, named = own, True
     chosen = within or allowed
-    if not named:
-        chosen = [
-            b for b in chosen if _hash(f"{b[0][-1].path if b[0] else ''}\n{b[1]}") not in constant
-        ]
+    if constant:
+        differs = [b for b in chosen if _hash(f"{b[0][-1].path if b[0] else ''}\n{b[1]}") not in constant]
+        # An article of constant texts only is a copy, not template.
+        chosen = differs if differs or not named else chosen
     return "\n\n".join(text for _, text in chosen)
 
 

@@ -147,6 +147,21 @@ def test_templates_of_hosts(spark):
     assert extract_pages(table.limit(0)).count() == 0
 
 
+def test_constant_texts_inside_articles(spark):
+    """A block that repeats on a host's pages goes, also in an article and under a neutral class."""
+    notice = "<div class=x1><p>Get our letter each week</p></div>"
+    pages = [
+        (i, f"http://a.example/{i}", f"<html><body><article><p>{sentence(i)}</p>{notice}<p>{sentence(50 + i)}</p></article></body></html>")
+        for i in range(8)
+    ]
+    copies = [(100 + i, f"http://b.example/{i}", f"<html><body><article><p>{sentence(9)}</p></article></body></html>") for i in range(8)]
+    rows = extract_pages(spark.createDataFrame(pages + copies, "page_id long, url string, html string")).collect()
+    texts = {r["page_id"]: r["text"] for r in rows}
+    for i in range(8):
+        assert texts[i] == f"{sentence(i)}\n\n{sentence(50 + i)}"
+        assert texts[100 + i] == sentence(9)
+
+
 def test_pages_of_the_driver_tables(spark, sf_dir):
     rows = QUERIES["op3_template_extraction"](spark, sf_dir).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
