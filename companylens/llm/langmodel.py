@@ -45,7 +45,7 @@ from companylens.operators.distributed import materialize
 
 BITS_PER_EVENT = 10
 PROBES = 5
-MIN_COUNT = 2
+MIN_COUNT = 1
 # Bytes of text in a block, and of the texts whose n-grams share a bucket, on average.
 TEXT_BLOCK = 4 << 20
 BUCKET_TEXT = 32 << 20

@@ -84,6 +84,17 @@ def test_count_filter_reads_levels_back():
     assert (LEVELS[level_of(counts) - 1] <= counts).all()
 
 
+def test_pairs_seen_once_count(spark):
+    """A held-out copy of a text that was trained on once has known pairs."""
+    own = random.Random(8)
+    texts = [" ".join(f"w{own.randrange(1500)}" for _ in range(60)) for _ in range(100)]
+    docs = spark.createDataFrame([(i, texts[i // 2]) for i in range(200)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in score_corpus(docs).collect()}
+    copies = [r for i, r in rows.items() if r["held_out"] and not rows[i ^ 1]["held_out"]]
+    assert copies
+    assert all(r["score"] > 0.8 * r["base_score"] for r in copies)
+
+
 def test_count_filter_grows_with_its_entries():
     """Ten bits for each entry at every size: as many false answers with many entries as with few."""
     for n in (2_000, 200_000):
