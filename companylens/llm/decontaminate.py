@@ -11,6 +11,10 @@ A capitalised word that begins a text, sentence, line, quote or bracket is a nam
 word. Windows that hold one are hashed twice, with the word and with a name in its place, and
 count as found by either hash.
 
+Items that are shorter than a window, or have no window with plain words, are also looked for
+word by word: by windows of all their words and numbers as they stand, ``WORDS`` or the
+item's own length.
+
 The benchmark is broadcast if its measured size allows it; else the windows are shuffled. Per
 document work is a scan; only documents that share enough windows are read a second time for
 their slots.
@@ -135,12 +139,14 @@ def _tokenised(table: DataFrame, key: str, words: int) -> DataFrame:
 
 def _places(rows: DataFrame, key: str, at: str, words: int) -> DataFrame:
     """(key, at, hash, window, tokens): a row for each window and hash; ``window`` is its first hash."""
-    rows = rows.select(key, "tokens", "named", F.posexplode("windows").alias(at, "window"))
-    rows = rows.where(F.col("window").isNotNull())
-    hashes = F.array_distinct(F.array_compact(F.array("window", F.get("named", F.col(at)))))
-    return rows.select(
-        key, at, "window", F.explode(hashes).alias("hash"), F.slice("tokens", F.col(at) + 1, words).alias("tokens")
+    # All parts of a window are put together before rows are made, so that no row holds a whole text.
+    entry = lambda w, i: F.struct(
+        i.alias(at), w.alias("window"), F.get("named", i).alias("named"), F.slice("tokens", i + 1, words).alias("tokens")
     )
+    entries = F.filter(F.transform("windows", entry), lambda e: e["window"].isNotNull())
+    rows = rows.select(key, F.explode(entries).alias("entry")).select(key, "entry.*")
+    rows = rows.select(key, at, "window", "tokens", F.explode(F.array("window", "named")).alias("hash"))
+    return rows.where(F.col("hash").isNotNull())
 
 
 def benchmark_windows(benchmark: DataFrame, words: int = WORDS) -> DataFrame:
@@ -150,6 +156,47 @@ def benchmark_windows(benchmark: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.join(totals, "item")
 
 
+def exact_words(text: Column) -> Column:
+    """Lower-case words and numbers as they stand."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), lambda t: t != "")
+
+
+def _exact_windows(tokens: Column, length: Column | int) -> Column:
+    """Hashes of all windows of ``length`` words, with the length."""
+    n = F.size(tokens)
+    size = F.lit(length) if isinstance(length, int) else length
+    hashed = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(size, F.slice(tokens, i + 1, size)))
+    return F.when((n >= size) & (size > 0), hashed).otherwise(F.array().cast("array<bigint>"))
+
+
+def find_exact(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """(row, item, n_windows, n_found, n_slots) for items without a full window of two plain words."""
+    tokenised = _tokenised(benchmark, "item", words)
+    whole = (F.size("tokens") >= words) & F.exists("windows", lambda w: w.isNotNull())
+    tokens = tokenised.where(~whole).select("item").join(benchmark, "item")
+    tokens = tokens.select("item", exact_words(F.col("text").cast("string")).alias("tokens")).where(F.size("tokens") > 0)
+    length = F.least(F.size("tokens"), F.lit(words))
+    table = materialize(
+        tokens.select("item", length.alias("length"), F.array_distinct(_exact_windows(F.col("tokens"), length)).alias("hash"))
+        .select("item", "length", F.size("hash").alias("n_windows"), F.explode("hash").alias("hash")),
+        "exact-windows",
+    )
+    # Lengths from 1 to ``words``.
+    lengths = sorted(r["length"] for r in table.select("length").distinct().collect())
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], "row long, item long, n_windows int, n_found long, n_slots int")
+    small = table.count() <= BROADCAST_WINDOWS
+    scanned = docs.select("row", exact_words(F.col("text").cast("string")).alias("tokens"))
+    scanned = scanned.select("row", F.array_distinct(F.concat(*[_exact_windows(F.col("tokens"), n) for n in lengths])).alias("hash"))
+    return (
+        _meet(scanned.select("row", F.explode("hash").alias("hash")), table, small)
+        .groupBy("row", "item", "n_windows")
+        .agg(F.count("*").alias("n_found"))
+        .where(100 * F.col("n_found") >= share * F.col("n_windows"))
+        .select("row", "item", "n_windows", "n_found", F.lit(0).alias("n_slots"))
+    )
+
+
 def _meet(windows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
     return windows.join(F.broadcast(table) if small else table, "hash")
 
@@ -161,9 +208,10 @@ def find_contamination(
 
     ``docs`` has a unique ``row`` and a text, ``benchmark`` a unique ``item`` and a text. Null
     or empty texts hold nothing and are held by nothing. An item with fewer tokens than a
-    window is found in texts with just its tokens; one without two plain words in any window
-    is never found.
+    window, or without two plain words in any, is found where its words and numbers stand,
+    and by its template only in texts with just its tokens. One without words is never found.
     """
+    exact = find_exact(docs, benchmark, words, share)
     table = materialize(benchmark_windows(benchmark, words), "benchmark-windows")
     small = table.count() <= BROADCAST_WINDOWS
     distinct = table.select("item", "window", "hash", "n_windows").distinct()
@@ -205,7 +253,7 @@ def find_contamination(
             F.count("*").alias("n_slots"),
         )
     )
-    return (
+    templates = (
         aligned.select("row", "item", "n_windows", "window", "shift")
         .join(conflicts, ["row", "item", "shift"], "left")
         .where(F.coalesce("conflict", F.lit(0)) == 0)
@@ -217,6 +265,7 @@ def find_contamination(
         .where(enough)
         .select("row", "item", "n_windows", "n_found", "n_slots")
     )
+    return templates.unionByName(exact.join(templates.select("row", "item"), ["row", "item"], "left_anti"))
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

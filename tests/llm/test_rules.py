@@ -92,6 +92,24 @@ def test_names_where_sentences_begin(spark):
     assert 3 not in {r["doc_id"] for r in found}
 
 
+def test_short_items_and_items_without_words(spark):
+    """Copies of items shorter than a window, or of numbers alone, inside longer texts."""
+    items = [(1, "What is 2 + 2?"), (2, "12 + 15 = 27"), (3, "1 2 3 4 5 6 7"), (4, "Paris"), (5, "?!"), (6, None)]
+    docs = [
+        (1, f"{sentence(1)}. what is 2 + 2? {sentence(2)}"),
+        (2, f"{sentence(3)}, 12 + 15 = 27, {sentence(4)}"),
+        (3, f"{sentence(5)} 1 2 3 4 5 6 7 {sentence(6)}"),
+        (4, f"{sentence(7)} 1 2 3 4 6 7 Parisian. What is 2 + 3? 12 + 16 = 27"),
+        (5, "They met in Paris."),
+        (6, None),
+    ]
+    found = contaminated_documents(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (2, 2), (3, 3), (5, 4)]
+
+
 def test_decontamination_of_untidy_rows(spark, untidy, nothing):
     base = untidy.where("doc_id = 3").first()["text"]
     items = spark.createDataFrame([(1, base), (1, base), (None, base), (4, None)], "item_id long, text string")
