@@ -51,14 +51,17 @@ def nan_to_null(column: Column) -> Column:
 def ten_digits(column: Column) -> Column:
     """Decimal text with up to ten significant digits, rounded half up.
 
-    Plain from 0.0001 up to ten billions, with an exponent outside.
+    Plain if the rounded value has an exponent from -4 to 9, else with an exponent of two
+    digits or more. Infinities are ``inf`` and ``-inf``; NaN is missing.
     """
     scientific = F.format_string("%.9e", column)
-    size = F.abs(column)
+    exponent = F.substring_index(scientific, "e", -1).try_cast("int")
     plain = F.rtrim(scientific.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
     return (
-        F.when(column.isNull(), F.lit(None).cast("string"))
+        F.when(column.isNull() | F.isnan(column), F.lit(None).cast("string"))
+        .when(column == float("inf"), "inf")
+        .when(column == float("-inf"), "-inf")
         .when(column == 0, "0")
-        .when((size < 1e-4) | (size >= 1e10), F.regexp_replace(scientific, r"\.?0*e", "e"))
+        .when((exponent < -4) | (exponent > 9), F.regexp_replace(scientific, r"\.?0*e", "e"))
         .otherwise(F.rtrim(plain, F.lit(".")))
     )

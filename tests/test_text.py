@@ -1,3 +1,5 @@
+import decimal
+import math
 import random
 import re
 import unicodedata
@@ -92,19 +94,40 @@ def test_labels(spark):
     ]
 
 
+def half_up(value):
+    """Ten significant digits of the shortest decimal text of a double, ties away from zero."""
+    if math.isinf(value):
+        return "inf" if value > 0 else "-inf"
+    exact = decimal.Decimal(repr(value))
+    if not exact:
+        return "0"
+    unit = decimal.Decimal(1).scaleb(exact.adjusted() - 9)
+    rounded = exact.quantize(unit, decimal.ROUND_HALF_UP)
+    exponent = rounded.adjusted()
+    if -4 <= exponent <= 9:
+        text = f"{rounded:f}"
+        return text.rstrip("0").rstrip(".") if "." in text else text
+    digits = f"{rounded.scaleb(-exponent):.9f}".rstrip("0").rstrip(".")
+    return f"{digits}e{'-' if exponent < 0 else '+'}{abs(exponent):02d}"
+
+
 def test_export_digits(spark):
-    """Same text as Python's ``%.10g``, ties on the eleventh digit included."""
+    """Ten digits, half up; the notation follows the rounded value."""
     random.seed(11)
-    values = [
-        1.0, 0.0, 100.0, 30615.704251234, 1e9, 1.23456789012e10, 9999999999.9, 1e-4,
-        0.00012345678901234, 1.5e-5, -0.2901926692999, 1 / 3, -2e5 / 3, 1200.0, 17609.393255,
-        9999999999.5, 0.00010000000005, 1e300,
-    ]
+    known = {
+        1.0: "1", 0.0: "0", 100.0: "100", 30615.704251234: "30615.70425", 1e9: "1000000000",
+        9999999999.4: "9999999999", 9999999999.5: "1e+10", 9999999999.9: "1e+10",
+        0.00009999999999999: "0.0001", 0.000099999999994: "9.999999999e-05", 1.5e-5: "1.5e-05",
+        1234567890.5: "1234567891", 1234567889.5: "1234567890", 1e300: "1e+300", -1e-300: "-1e-300",
+        math.inf: "inf", -math.inf: "-inf",
+    }
+    values = list(known)
     for _ in range(3000):
         digits = random.randrange(10**9, 10**10) * 10 + 5
         values.append(float(f"{random.choice(['', '-'])}{digits}e-{random.randrange(1, 15)}"))
         values.append(random.randrange(2**34) / 2 ** random.randrange(1, 12))
         values.append(random.gauss(0, 1) * 10 ** random.randrange(-6, 12))
-    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    df = spark.createDataFrame([(v,) for v in values] + [(math.nan,), (None,)], "v double")
     texts = [r[0] for r in csv_text(df).collect()]
-    assert texts == ["%.10g" % v for v in values] + [None]
+    assert texts[: len(known)] == list(known.values())
+    assert texts == [half_up(v) for v in values] + [None, None]
