@@ -8,6 +8,7 @@ regular expressions lack.
 
 from __future__ import annotations
 
+from companylens.llm import divergence as audit
 from companylens.llm import quality_rules as rules
 
 _WORDS = ", ".join(
@@ -68,4 +69,33 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
   not base_failed and coalesce(excess <= 1, true) as kept
 from base left join nearest using (doc_id)"""
 
-ORACLES = {"op7_divergence_quality": OP7}
+OP13 = rf"""
+with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), '{audit.UPPER}', '{audit.UPPER.lower()}') as text from documents),
+found as (select row, lang, source, unnest(regexp_extract_all(text, '{audit.TERM}')) as term from d),
+kept as (select lang, term, count(*) as n from found group by lang, term
+    having count(distinct row) >= {audit.MIN_DOCUMENTS}),
+langs as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+cells as (select lang, source, term, count(*) as n from found semi join kept using (lang, term) group by all),
+totals as (select lang, source, sum(n) as total from cells group by all),
+groups as (select distinct lang, source from d),
+shares as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    (1 + ({audit.SHARE_UNIT}::hugeint * (coalesce(c.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * l.v))::bigint as p,
+    (1 + ({audit.SHARE_UNIT}::hugeint * (k.n + 2)) // (l.total + 2 * l.v))::bigint as q
+    from groups g join kept k on k.lang = g.lang join langs l on l.lang = g.lang
+    left join totals t on t.lang = g.lang and t.source = g.source
+    left join cells c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+sums as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+    from shares a join shares b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(s.value, 0)::bigint as value
+    from groups a join groups b on b.lang = a.lang and b.source <> a.source
+    left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, term as item, ((p - q) * (p - q)) // (p + q) as value from shares where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value,
+    (row_number() over (partition by lang, source order by value desc, item))::int as rank from pairs
+union all
+select lang, source, 'term', item, value,
+    (row_number() over (partition by lang, source order by value desc, item))::int as rank from terms
+    qualify row_number() over (partition by lang, source order by value desc, item) <= {audit.TOP_TERMS}"""
+
+ORACLES = {"op7_divergence_quality": OP7, "op13_source_divergence": OP13}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from companylens.llm.decontaminate import op6_template_decontamination
+from companylens.llm.divergence import op13_source_divergence
 from companylens.llm.gam import op8_additive_quality
 from companylens.llm.html_text import op3_template_extraction
 from companylens.llm.langmodel import op4_bloom_lm_scores
@@ -25,4 +26,5 @@ QUERIES = {
     "op8_additive_quality": op8_additive_quality,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_source_divergence": op13_source_divergence,
 }
