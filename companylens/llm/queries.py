@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from companylens.llm.ballcodes import op12_ball_codes
 from companylens.llm.decontaminate import op6_template_decontamination
 from companylens.llm.divergence import op13_source_divergence
 from companylens.llm.gam import op8_additive_quality
@@ -26,5 +27,6 @@ QUERIES = {
     "op8_additive_quality": op8_additive_quality,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_ball_codes": op12_ball_codes,
     "op13_source_divergence": op13_source_divergence,
 }
