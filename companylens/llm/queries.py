@@ -14,6 +14,7 @@ from companylens.llm.packing import op10_best_fit_packing
 from companylens.llm.quality_rules import op7_divergence_quality
 from companylens.llm.records import op5_token_records
 from companylens.llm.repeats import op1_suffix_array_dedup
+from companylens.llm.substrings import op11_prefix_suffix_trees
 from companylens.llm.toxicity import op2_factorization_toxicity
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_additive_quality": op8_additive_quality,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_prefix_suffix_trees": op11_prefix_suffix_trees,
     "op12_ball_codes": op12_ball_codes,
     "op13_source_divergence": op13_source_divergence,
 }
