@@ -45,7 +45,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Scenario used by the single-scenario stress queries: revenue -20 %, cost +10 %.
 SHOCK, INFLATION = -20.0, 10.0
-GRID = [(float(s), float(c)) for s in range(-40, 21, 10) for c in (0, 10, 20)]
+# Every position of both sliders: -40 to 20 % in steps of 1, 0 to 25 % in steps of a half.
+GRID = [(float(s), c / 2) for s in range(-40, 21) for c in range(51)]
 
 
 def rounded(df: DataFrame) -> DataFrame:

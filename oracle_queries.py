@@ -301,7 +301,7 @@ def percent_rank(metric: str, name: str, compared: str) -> str:
     )
 
 
-GRID = ", ".join(f"({s}, {c})" for s in range(-40, 21, 10) for c in (0, 10, 20))
+GRID = ", ".join(f"({s}, {c / 2})" for s in range(-40, 21) for c in range(51))
 
 TREE = f""",
 tree as (select municipality, company_name, greatest({REV}, 1.0) as area,

@@ -1,5 +1,8 @@
 """Geography, stress, scoring and presentation."""
 
+import math
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +121,37 @@ def test_stress_summary_and_grid(quality, quality_pandas):
             assert row[name] == pytest.approx(value), name
 
 
+def test_stress_grid_on_the_edge(spark):
+    """Counts equal the products of doubles for every slider position, ties included."""
+    rng = random.Random(4)
+    grid = [(float(s), c / 2) for s in range(-40, 21) for c in range(51)]
+    rows = [(1, 0.0, 0.0), (2, -5.0, -5.0), (3, -5.0, 2.0), (4, 0.0, -3.0), (5, 7.0, 9.0), (None, 3.3, 0.0)]
+    rows += [(1, None, 1.0), (1, 1.0, None), (8, 1e-200, 1e-201), (9, 1e200, -1e200), (2, 1e160, 1e-160)]
+    for _ in range(300):
+        revenue = round(rng.uniform(1, 5000), rng.randrange(4))
+        s, c = rng.choice(grid)
+        # A cost that the scenario just eats up, one unit in the last place more or less.
+        cost = revenue * (1 + s / 100) / (1 + c / 100)
+        cost = rng.choice([cost, math.nextafter(cost, 0), math.nextafter(cost, math.inf)])
+        rows.append((rng.randrange(50), revenue, revenue - cost))
+        rows.append((1, revenue, rng.choice([0.0, revenue * rng.uniform(-0.3, 0.4)])))
+    df = spark.createDataFrame(rows, f"{EMPLOYEES} long, {REVENUE} double, {EBITDA} double")
+    outside = [(-100.0, 5.0), (5.0, -100.0), (-250.0, 0.0), (1e6, 0.0)]
+    found = stress.stress_grid(df, grid + outside).collect()
+    assert len(found) == len(grid) + len(outside)
+    both = [r for r in rows if None not in r[1:]]
+    for r in found:
+        a, b = 1 + r.revenue_shock_pct / 100, 1 + r.cost_inflation_pct / 100
+        losses = [(n, e) for n, v, e in both if v * a - max(v - e, 0.0) * b < 0]
+        assert r.stressed_negative_ebitda_count == len(losses)
+        assert r.newly_distressed_count == sum(e >= 0 for _, e in losses)
+        assert r.jobs_in_distressed_entities == sum(n or 0 for n, _ in losses)
+        assert r.resilience_rate == pytest.approx((len(rows) - 1 - len(losses)) / (len(rows) - 1))
+    assert stress.stress_grid(df.limit(0), grid[:3]).select("resilience_rate").distinct().collect() == [(1.0,)]
+    with pytest.raises(ValueError):
+        stress.stress_grid(df, [])
+
+
 def test_stress_of_nothing(quality):
     empty = stress.apply_macroeconomic_stress(quality.where("false"), -10, 5)
     row = stress.stress_impact_summary(empty).first()
