@@ -31,44 +31,40 @@ OVERVIEW_MEDIANS = {
 
 
 def _overview(df: DataFrame, scopes: list[str]) -> DataFrame:
-    """Overview rows for several overlapping scopes in one pass.
+    """Overview rows for several overlapping scopes.
 
-    Each record is repeated for the scopes it belongs to, with only the columns
-    the overview needs. One marker row per scope keeps an empty scope visible,
-    so that it fails instead of going missing.
+    Records are summed up and counted by the set of scopes they belong to; only these sums
+    are folded into the scopes. One marker row keeps an empty scope visible, so that it
+    fails instead of going missing.
     """
     require_columns(df, ANALYTICS_COLUMNS, "analytics")
     values = sorted(set(OVERVIEW_MEDIANS.values()))
     flags = ["has_negative_latest_ebitda", "has_revenue_decline"]
-    scoped = df.select(
-        F.explode(
-            F.array_compact(
-                F.array(*[F.when(scope_condition(s), F.lit(s)) for s in scopes])
-            )
-        ).alias("scope"),
-        F.lit(1).alias("present"),
-        *values,
-        *flags,
-    )
-    markers = df.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(s) for s in scopes])).alias("scope"),
-        F.lit(0).alias("present"),
+    member_of = F.array_compact(F.array(*[F.when(scope_condition(s), F.lit(s)) for s in scopes]))
+    scoped = df.select(member_of.alias("scopes"), *values, *flags)
+    sums = scoped.groupBy("scopes").agg(
+        F.count(F.lit(1)).alias("company_count"),
+        F.sum(EMPLOYEES).alias("employee_count"),
+        F.count(REVENUE).alias("revenue_available_count"),
+        F.count(EBITDA).alias("ebitda_available_count"),
+        F.sum(REVENUE).alias("revenue_total_k_eur"),
+        F.sum(EBITDA).alias("ebitda_total_k_eur"),
+        F.count_if(F.col(flags[0])).alias("negative_ebitda_count"),
+        F.count_if(F.col(flags[1])).alias("revenue_decline_count"),
     )
+    marker = df.sparkSession.range(1).select(F.array(*[F.lit(s) for s in scopes]).alias("scopes"))
+    measures = [c for c in sums.columns if c != "scopes"]
+    totals = {c: F.sum(c) for c in measures}
+    for c in measures:
+        if c.endswith("_count"):
+            totals[c] = F.coalesce(totals[c], F.lit(0))
     counts = (
-        scoped.unionByName(markers, allowMissingColumns=True)
+        sums.unionByName(marker, allowMissingColumns=True)
+        .select(F.explode("scopes").alias("scope"), *measures)
         .groupBy("scope")
-        .agg(
-            F.sum("present").alias("company_count"),
-            total(F.col(EMPLOYEES)).alias("employee_count"),
-            F.count(REVENUE).alias("revenue_available_count"),
-            F.count(EBITDA).alias("ebitda_available_count"),
-            F.sum(REVENUE).alias("revenue_total_k_eur"),
-            F.sum(EBITDA).alias("ebitda_total_k_eur"),
-            F.count_if(F.col(flags[0])).alias("negative_ebitda_count"),
-            F.count_if(F.col(flags[1])).alias("revenue_decline_count"),
-        )
+        .agg(*[column.alias(c) for c, column in totals.items()])
     )
-    medians = exact_medians(scoped, OVERVIEW_MEDIANS, ["scope"], few_groups=True)
+    medians = exact_medians(scoped, OVERVIEW_MEDIANS, ["scope"], few_groups=True, members="scopes")
     checked = F.when(
         F.col("company_count") == 0,
         F.raise_error(F.concat(F.lit("Analytical scope without records: "), F.col("scope"))),
@@ -208,9 +204,11 @@ def calculate_revenue_percentiles(
     return rows.select(F.lit(scope).alias("scope"), "percentile", "revenue_k_eur")
 
 
-def summarize_places(df: DataFrame, place: str) -> DataFrame:
-    """Companies, jobs, revenue and EBITDA per place label, missing label included."""
-    summary = df.groupBy(place).agg(
+PLACE_MEDIANS = {"median_revenue_k_eur": REVENUE, "median_ebitda_margin": "ebitda_margin"}
+
+
+def _place_sums(df: DataFrame, place: str) -> DataFrame:
+    return df.groupBy(place).agg(
         F.count(F.lit(1)).alias("company_count"),
         total(F.col(EMPLOYEES)).alias("employee_count"),
         total(F.col(REVENUE)).alias("revenue_total_k_eur"),
@@ -218,29 +216,45 @@ def summarize_places(df: DataFrame, place: str) -> DataFrame:
         F.count_if(F.col("has_adverse_legal_status")).alias("adverse_status_count"),
         F.count_if(F.col("has_negative_latest_ebitda")).alias("negative_ebitda_count"),
     )
-    medians = exact_medians(
-        df, {"median_revenue_k_eur": REVENUE, "median_ebitda_margin": "ebitda_margin"}, [place]
-    ).withColumnRenamed(place, "__place")
+
+
+def _with_medians(sums: DataFrame, medians: DataFrame, place: str) -> DataFrame:
+    medians = medians.withColumnRenamed(place, "__place")
     companies = F.col("company_count")
-    return (
-        summary.join(medians, summary[place].eqNullSafe(medians["__place"]), "left")
-        .select(
-            place,
-            "company_count",
-            "employee_count",
-            "revenue_total_k_eur",
-            "ebitda_total_k_eur",
-            "median_revenue_k_eur",
-            "median_ebitda_margin",
-            "adverse_status_count",
-            "negative_ebitda_count",
-            (F.col("adverse_status_count") / companies).alias("adverse_status_rate"),
-            (F.col("negative_ebitda_count") / companies).alias("negative_ebitda_rate"),
-        )
-        .orderBy(F.desc("revenue_total_k_eur"), F.asc_nulls_last(place))
+    return sums.join(medians, sums[place].eqNullSafe(medians["__place"]), "left").select(
+        place,
+        "company_count",
+        "employee_count",
+        "revenue_total_k_eur",
+        "ebitda_total_k_eur",
+        *PLACE_MEDIANS,
+        "adverse_status_count",
+        "negative_ebitda_count",
+        (F.col("adverse_status_count") / companies).alias("adverse_status_rate"),
+        (F.col("negative_ebitda_count") / companies).alias("negative_ebitda_rate"),
     )
 
 
+def summarize_places(df: DataFrame, place: str) -> DataFrame:
+    """Companies, jobs, revenue and EBITDA per place label, missing label included."""
+    table = _with_medians(_place_sums(df, place), exact_medians(df, PLACE_MEDIANS, [place]), place)
+    return table.orderBy(F.desc("revenue_total_k_eur"), F.asc_nulls_last(place))
+
+
+def summarize_top_places(df: DataFrame, place: str, top_n: int = 10) -> DataFrame:
+    """The rows of ``summarize_places`` with a label and the largest revenue, largest first.
+
+    Sums decide which they are; medians are then found for the records of these places only.
+    """
+    order = [F.desc("revenue_total_k_eur"), F.asc(place)]
+    sums = _place_sums(df, place).dropna(subset=[place, "revenue_total_k_eur"])
+    top = sums.orderBy(*order).limit(positive_int(top_n, "Number of places"))
+    # At most ``top_n`` rows.
+    inside = df.join(F.broadcast(top.select(place)), place, "left_semi")
+    medians = exact_medians(inside, PLACE_MEDIANS, [place], few_groups=True)
+    return _with_medians(top, F.broadcast(medians), place).orderBy(*order)
+
+
 def create_municipality_summary(df: DataFrame, scope: str = "all") -> DataFrame:
     """Place summary by raw municipality label, largest revenue first."""
     return summarize_places(filter_analytical_scope(df, scope), "municipality")

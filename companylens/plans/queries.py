@@ -277,7 +277,7 @@ def municipality_summary(spark, sf):
 
 
 def municipality_top_n(spark, sf):
-    table = summaries.create_municipality_summary(company_layer(spark, sf))
+    table = summaries.summarize_top_places(company_layer(spark, sf), "municipality", 10)
     return rounded(rankings.municipality_top_n(table, 10))
 
 

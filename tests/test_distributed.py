@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from companylens.operators import distributed
-from companylens.operators.quantiles import exact_medians, exact_quantiles
+from companylens.operators.quantiles import exact_medians, exact_quantiles, number_cell
 
 
 def test_join_by_key_paths_agree(spark):
@@ -141,3 +141,35 @@ def test_medians_as_columns(spark):
     for group, median in result.items():
         values = [r[2] for r in rows if r[1] == group and r[2] is not None]
         assert median == pytest.approx(np.median(values))
+
+
+def test_quantiles_of_overlapping_groups(spark):
+    rows, df = make_groups(spark)
+    sets = F.when(F.col("id") % 2 == 0, F.array(F.lit("all"), F.lit("even"))).otherwise(F.array(F.lit("all")))
+    result = exact_quantiles(df.withColumn("sets", sets), ["v", "w"], [0.3, 0.5], ["s"], True, "sets")
+    found = {(r.s, r.metric): (r.available, r.quantiles) for r in result.collect()}
+    assert set(found) == {(s, m) for s in ("all", "even") for m in ("v", "w")}
+    for (group, metric), (available, quantiles) in found.items():
+        own = [r for r in rows if group == "all" or r[0] % 2 == 0]
+        values = [r[2 if metric == "v" else 3] for r in own]
+        values = [x for x in values if x is not None]
+        assert available == len(values)
+        assert quantiles == pytest.approx(np.quantile(values, [0.3, 0.5]), abs=1e-9)
+
+
+def test_number_cells_keep_the_order(spark):
+    inf, own = float("inf"), random.Random(2)
+    values = [-inf, -1.7e308, -1.0, -5e-324, 0.0, 5e-324, 2.2e-308, 1.0, 1.0000000000000002, 1.7e308, inf]
+    values += [own.uniform(-1, 1) * 10 ** own.randint(-300, 300) for _ in range(3000)]
+    values += [1.0 + k * 2.0**-52 for k in range(-50, 50)]
+    values = sorted(values) + [float("nan")]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    cells = [r[0] for r in df.orderBy("i").select(number_cell(F.col("v"))).collect()]
+    assert cells == sorted(cells) and len(set(cells[:11])) >= 10
+
+
+def test_quantiles_store_and_sort_nothing(spark):
+    """Two scans, partial sums and broadcast cells; the values are never put in order as a whole."""
+    plan = exact_quantiles(spark.range(100).select(F.col("id").cast("double").alias("v")), ["v"], [0.5])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in text and "InMemory" not in text and "Scan parquet" not in text
