@@ -4,12 +4,14 @@ Texts are not split into terms one by one. White-space chunks repeat so much tha
 the product of two smaller things: how often each chunk stands in each document, and which
 terms a chunk holds.
 
-1. The chunks of every whole document are counted, in blocks of documents. A block is one
-   stored row: its distinct chunks, and per document the places and counts of its chunks.
-2. Every chunk that is distinct in the whole corpus is split into terms once.
-3. Its terms are joined back to the blocks that hold it. As a document lies in one block, a
-   block's numbers of distinct documents and of occurrences per language, source and term
-   are final for it, and all that goes on are their partial sums.
+1. The chunks of every whole document are counted, in blocks of documents. A block keeps its
+   numbers in one row, and lists each of its distinct chunks once, by buckets of their hash.
+2. A bucket holds all occurrences of its chunks in all blocks: every chunk that is distinct in
+   the whole corpus is split into terms once. A chunk occurs once per block at most, so frequent
+   chunks make no bucket larger than another.
+3. The terms go back to the blocks. As a document lies in one block, a block's numbers of
+   distinct documents and of occurrences per language, source and term are final for it, and
+   all that goes on are their partial sums.
 4. Shares are whole numbers (billionths, decimal arithmetic). Sources are compared in buckets
    of terms: a task holds the shares of all sources of a language for the terms of a bucket.
 
@@ -18,6 +20,8 @@ Nothing is cut off: the lists of terms stop at ten ranks because the report does
 
 from __future__ import annotations
 
+import re
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -28,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from companylens.llm.kernels import blocks, ragged, text_bytes
-from companylens.operators.distributed import join_by_key, materialize
+from companylens.llm.kernels import ragged
+from companylens.operators.distributed import fresh_path, materialize
 
 # A term is a run of ASCII letters and characters beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -37,124 +41,218 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_DOCUMENTS = 10
 TOP_TERMS = 10
 SHARE_UNIT = 1_000_000_000
-# Bytes of text in a block, and shares of sources by terms that a task compares at once.
-BLOCK_TEXT = 4 << 20
-BUCKET_CELLS = 1 << 20
+# Bytes of text in a block, buckets of chunks (a task's dictionary is one of them), and shares of
+# sources by terms that a task compares at once.
+BLOCK_TEXT = 16 << 20
+BUCKETS = 4_096
+BUCKET_CELLS = 1 << 18
 
+# A block's row with numbers has the bucket -1, the rows with its chunks those from 0 on.
 BLOCK_SCHEMA = (
-    "block long, chunks array<binary>, langs array<string>, sources array<string>, group array<int>, "
-    "sizes array<int>, at array<int>, times array<int>"
+    "block long, bucket int, lines binary, langs array<string>, sources array<string>, group binary, "
+    "sizes binary, gaps binary, times binary, places binary"
 )
 COUNT_SCHEMA = "lang string, source string, term string, docs long, n long"
 PAIR_SCHEMA = "lang string, source string, item string, value long"
 
 
-def _one_list(values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+_BLOCK_ARROW = pa.schema(
+    [("block", pa.int64()), ("bucket", pa.int32()), ("lines", pa.binary())]
+    + [(c, pa.list_(pa.string())) for c in ("langs", "sources")]
+    + [(c, pa.binary()) for c in ("group", "sizes", "gaps", "times", "places")]
+)
+_NUMBERS = _BLOCK_ARROW.names[3:]
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers from 0 to 2**31 - 1, those below 255 in one byte."""
+    small = np.minimum(values, 255).astype(np.uint8)
+    large = values[small == 255].astype("<i4")
+    return len(small).to_bytes(8, "little") + small.tobytes() + large.tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    small = np.frombuffer(raw, np.uint8, n, 8)
+    values = small.astype(np.int64)
+    values[small == 255] = np.frombuffer(raw, "<i4", offset=8 + n)
+    return values
+
+
+class _Block:
+    """Counted chunks of the documents that were added."""
+
+    def __init__(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.groups: dict[tuple, int] = {}
+        self.group, self.sizes, self.at, self.times = array("i"), array("i"), array("i"), array("i")
+
+    def add(self, lang: str, source: str, raw: bytes) -> None:
+        index, bag = self.index, Counter(raw.split())
+        self.group.append(self.groups.setdefault((lang, source), len(self.groups)))
+        self.sizes.append(len(bag))
+        self.at.extend([index.setdefault(chunk, len(index)) for chunk in bag])
+        self.times.extend(bag.values())
+
+    def rows(self, block: int) -> list[dict]:
+        group, sizes, at, times = (np.frombuffer(x, np.int32) for x in (self.group, self.sizes, self.at, self.times))
+        order = np.lexsort((at, np.repeat(np.arange(len(sizes)), sizes)))
+        at, times = at[order], times[order]
+        gaps = np.diff(at, prepend=0)
+        first = (np.cumsum(sizes) - sizes)[sizes > 0]
+        gaps[first] = at[first]
+        chunks = list(self.index)
+        bucket = np.fromiter((zlib.crc32(c) % BUCKETS for c in chunks), np.int64, len(chunks))
+        places = np.argsort(bucket, kind="stable")
+        numbers = {
+            "langs": [g[0] for g in self.groups],
+            "sources": [g[1] for g in self.groups],
+            "group": pack(group),
+            "sizes": pack(sizes),
+            "gaps": pack(gaps),
+            "times": pack(times),
+            "places": places.astype("<i4").tobytes(),
+        }
+        out = [{"block": block, "bucket": -1, **numbers}]
+        names, starts = np.unique(bucket[places], return_index=True)
+        for name, low, high in zip(names.tolist(), starts, [*starts[1:], len(places)], strict=True):
+            lines = b"\n".join([chunks[i] for i in places[low:high].tolist()])
+            out.append({"block": block, "bucket": name, "lines": lines})
+        return out
 
 
 def chunk_blocks(docs: DataFrame) -> DataFrame:
-    """BLOCK_SCHEMA of (lang, source, text): counted chunks, a row for each block of documents.
+    """BLOCK_SCHEMA of (lang, source, text): counted chunks of blocks of documents.
 
-    ``group`` names the pair of ``langs`` and ``sources`` of each document, ``sizes`` how many
-    distinct chunks it has; ``at`` and ``times`` list these, document after document.
+    The row with numbers names the pair of ``langs`` and ``sources`` of each document, how many
+    distinct chunks it has, and, document after document, their ascending places (as gaps)
+    and counts. ``places`` are those of the chunks in the order of the other rows.
     """
 
-    def count(part: pa.RecordBatch) -> list[pa.Array]:
-        index: dict[bytes, int] = {}
-        groups: dict[tuple, int] = {}
-        group, sizes, at, times = array("i"), array("i"), array("i"), array("i")
-        columns = [part.column(c).to_pylist() for c in ("lang", "source", "text")]
-        for lang, source, raw in zip(*columns, strict=True):
-            bag = Counter(raw.split())
-            group.append(groups.setdefault((lang, source), len(groups)))
-            sizes.append(len(bag))
-            at.extend([index.setdefault(chunk, len(index)) for chunk in bag])
-            times.extend(bag.values())
-        return [
-            _one_list(pa.array(list(index), pa.binary())),
-            _one_list(pa.array([g[0] for g in groups], pa.string())),
-            _one_list(pa.array([g[1] for g in groups], pa.string())),
-            *[_one_list(pa.array(np.frombuffer(x, np.int32))) for x in (group, sizes, at, times)],
-        ]
-
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        names = ["block", "chunks", "langs", "sources", "group", "sizes", "at", "times"]
+        block, size, current = TaskContext.get().partitionId() << 32, 0, _Block()
         for batch in batches:
-            for low, high in blocks(text_bytes(batch.column("text"))[1], BLOCK_TEXT):
-                counted = count(batch.slice(low, high - low))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *counted], names)
-                block += 1
+            columns = (batch.column(c) for c in ("lang", "source", "text"))
+            for lang, source, text in zip(*columns, strict=True):
+                raw = text.as_py()
+                current.add(lang.as_py(), source.as_py(), raw)
+                size += len(raw)
+                if size >= BLOCK_TEXT:
+                    yield pa.RecordBatch.from_pylist(current.rows(block), schema=_BLOCK_ARROW)
+                    block, size, current = block + 1, 0, _Block()
+        if current.sizes:
+            yield pa.RecordBatch.from_pylist(current.rows(block), schema=_BLOCK_ARROW)
 
     return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(
         of_partition, BLOCK_SCHEMA
     )
 
 
-def _block_counts(
-    group: np.ndarray, sizes: np.ndarray, at: np.ndarray, times: np.ndarray, terms_at: np.ndarray, terms: list[str]
-) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms, and group, term, documents and occurrences of a block.
+def named_chunks(chunks: DataFrame) -> DataFrame:
+    """(block, bucket, lines) with the terms of each chunk, and a space between them."""
+    find = re.compile(TERM.encode()).findall
+    lower = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
-    ``terms[i]`` holds the terms of the chunk ``terms_at[i]``, one in a line.
-    """
-    index: dict[str, int] = {}
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, known = -1, {}
+        for batch in batches:
+            out = []
+            for own, lines in zip(batch.column("bucket").to_pylist(), batch.column("lines"), strict=True):
+                if own != bucket:
+                    bucket, known = own, {}
+                terms = []
+                for chunk in lines.as_py().split(b"\n"):
+                    found = known.get(chunk)
+                    if found is None:
+                        found = known[chunk] = b" ".join(find(chunk.translate(lower)))
+                    terms.append(found)
+                out.append(b"\n".join(terms))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())],
+                ["block", "bucket", "lines"],
+            )
+
+    together = chunks.select("block", "bucket", "lines").repartition("bucket").sortWithinPartitions("bucket")
+    return together.mapInArrow(name, "block long, bucket int, lines binary")
+
+
+def _block_counts(numbers: dict, lines: list[bytes]) -> pa.RecordBatch:
+    """COUNT_SCHEMA of a block whose chunks, in the order of its places, hold ``lines``."""
+    group, sizes, gaps, times = (unpack(numbers[c]) for c in ("group", "sizes", "gaps", "times"))
+    places = np.frombuffer(numbers["places"], "<i4")
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    # Gaps add up within a document.
+    total = np.cumsum(gaps)
+    begin = (np.cumsum(sizes) - sizes)[sizes > 0]
+    before = np.zeros(len(sizes), np.int64)
+    before[sizes > 0] = total[begin] - gaps[begin]
+    at = total - before[doc]
+
+    index: dict[bytes, int] = {}
     flat = array("q")
-    count = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
-    first = np.zeros(len(count), np.int64)
-    for chunk, lines in zip(terms_at.tolist(), terms, strict=True):
-        own = lines.split("\n")
-        first[chunk] = len(flat)
-        count[chunk] = len(own)
-        flat.extend([index.setdefault(term, len(index)) for term in own])
+    count = np.zeros(len(places), np.int64)
+    first = np.zeros(len(places), np.int64)
+    for place, line in zip(places.tolist(), lines, strict=True):
+        if line:
+            own = line.split(b" ")
+            first[place] = len(flat)
+            count[place] = len(own)
+            flat.extend([index.setdefault(term, len(index)) for term in own])
     flat = np.frombuffer(flat, np.int64)
     width = max(len(index), 1)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
     repeat = count[at]
     term = flat[ragged(first[at], repeat)]
     doc = np.repeat(doc, repeat)
-    cells, place = np.unique(group[doc] * width + term, return_inverse=True)
-    n = np.zeros(len(cells), np.int64)
-    np.add.at(n, place, np.repeat(times, repeat))
-    pairs = np.unique(doc * width + term)
-    found = np.searchsorted(cells, group[pairs // width] * width + pairs % width)
-    docs = np.bincount(found, minlength=len(cells))
-    return list(index), cells // width, cells % width, docs, n
+    pairs, pair_of = np.unique(doc * width + term, return_inverse=True)
+    n_pair = np.bincount(pair_of, weights=np.repeat(times, repeat), minlength=len(pairs))
+    # Term by term, so that neighbouring rows differ little and are shuffled in few bytes.
+    n_groups = len(numbers["langs"])
+    cells, cell_of = np.unique(pairs % width * n_groups + group[pairs // width], return_inverse=True)
+    n = np.bincount(cell_of, weights=n_pair, minlength=len(cells)).astype(np.int64)
+    docs = np.bincount(cell_of, minlength=len(cells))
+    groups = pa.array(cells % n_groups)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(numbers["langs"], pa.string()).take(groups),
+            pa.array(numbers["sources"], pa.string()).take(groups),
+            pa.array(list(index), pa.binary()).take(pa.array(cells // n_groups)).cast(pa.string(), safe=False),
+            pa.array(docs, pa.int64()),
+            pa.array(n),
+        ],
+        ["lang", "source", "term", "docs", "n"],
+    )
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """COUNT_SCHEMA: distinct documents and occurrences of each term by lang and source."""
-    stored = materialize(chunk_blocks(docs), "chunk-blocks")
-    held = stored.select("block", F.posexplode("chunks").alias("at", "chunk"))
-    lowered = F.translate(F.col("chunk").cast("string"), UPPER, UPPER.lower())
-    terms = F.array_join(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)), "\n")
-    distinct = held.groupBy("chunk").agg(F.count("*").alias("blocks")).withColumn("terms", terms)
-    named = join_by_key(held, distinct, ["chunk"], "blocks", ["block", "at"]).where("terms <> ''")
-    # A block's dictionary is no larger than its texts.
-    dictionary = named.groupBy("block").agg(F.collect_list(F.struct("at", "terms")).alias("named"))
+    """COUNT_SCHEMA: distinct documents and occurrences of each term by lang and source.
+
+    Rows of a term of a language are in one partition; a block has one of them per source.
+    """
+    spark = docs.sparkSession
+    blocks = chunk_blocks(docs)
+    path = fresh_path(spark, "chunk-blocks")
+    blocks.write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(blocks.schema).parquet(path)
+    named = named_chunks(stored.where("bucket >= 0"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict | None = None
+        lines: list[bytes] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].values for c in batch.schema.names if c != "block"}
-                numbers = [row[c].to_numpy() for c in ("group", "sizes", "at", "times")]
-                term, group, at, docs_of, n = _block_counts(
-                    *numbers, row["named"].field("at").to_numpy(), row["named"].field("terms").to_pylist()
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        row["langs"].take(pa.array(group)),
-                        row["sources"].take(pa.array(group)),
-                        pa.array(term, pa.string()).take(pa.array(at)),
-                        pa.array(docs_of),
-                        pa.array(n),
-                    ],
-                    ["lang", "source", "term", "docs", "n"],
-                )
-
-    joined = stored.drop("chunks").join(dictionary, "block")
-    counted = joined.mapInArrow(count, COUNT_SCHEMA)
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket < 0:
+                    if numbers:
+                        yield _block_counts(numbers, lines)
+                    numbers = {c: batch.column(c)[i].as_py() for c in _NUMBERS}
+                    lines = []
+                else:
+                    lines.extend(batch.column("lines")[i].as_py().split(b"\n"))
+        if numbers:
+            yield _block_counts(numbers, lines)
+
+    together = stored.where("bucket < 0").unionByName(named, allowMissingColumns=True)
+    counted = together.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(count, COUNT_SCHEMA)
+    counted = counted.repartition("lang", "term")
     return counted.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
@@ -233,16 +331,24 @@ def source_divergence(docs: DataFrame) -> DataFrame:
     texts = docs.select(
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
     )
-    counts = materialize(term_counts(texts), "term-counts")
-    kept = materialize(
-        counts.groupBy("lang", "term")
-        .agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang"))
+    # Windows over the sources of one term.
+    of_term = Window.partitionBy("lang", "term")
+    cells = materialize(
+        term_counts(texts)
+        .select(
+            "lang",
+            "source",
+            "term",
+            "n",
+            F.sum("docs").over(of_term).alias("docs"),
+            F.sum("n").over(of_term).alias("n_lang"),
+            (F.col("source") == F.min("source").over(of_term)).alias("once"),
+        )
         .where(F.col("docs") >= MIN_DOCUMENTS)
         .drop("docs"),
-        "kept-terms",
+        "kept-counts",
     )
-    cells = materialize(counts.drop("docs").join(kept, ["lang", "term"]), "kept-counts")
-    languages = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"))
+    languages = cells.groupBy("lang").agg(F.count_if("once").alias("v"), F.sum("n").alias("total_lang"))
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = materialize(
         texts.select("lang", "source")

@@ -138,5 +138,6 @@ def test_registered_divergence(spark, sf_dir, monkeypatch):
     con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
     expected = sorted(con.execute(ORACLES["op13_source_divergence"]).fetchall())
     monkeypatch.setattr(divergence, "BLOCK_TEXT", 50_000)
+    monkeypatch.setattr(divergence, "BUCKETS", 7)
     monkeypatch.setattr(divergence, "BUCKET_CELLS", 1_000)
     assert sorted(map(tuple, QUERIES["op13_source_divergence"](spark, sf_dir).collect())) == expected
