@@ -280,17 +280,24 @@ def _matches_by_count(segments: DataFrame, length: int, earlier_only: bool) -> D
                 )
 
     windows = segments.mapInArrow(hash_windows, "window long, row long, low int")
-    # Stored for the same reason as the shared anchors.
-    counted = materialize(
-        windows.groupBy("window")
-        .agg(F.count("*").alias("n"), F.min(F.struct("row", "low")).alias("first"))
-        .where("n > 1"),
-        "window-counts",
+    counted = windows.groupBy("window").agg(
+        F.count("*").alias("n"), F.min(F.struct("row", "low")).alias("first")
     )
-    found = windows.join(counted, "window")
-    if earlier_only:
-        found = found.where(F.struct("row", "low") != F.col("first"))
-    return found.select("row", "low", F.col("low").alias("high"))
+    return _but_firsts(windows.withColumn("high", F.col("low")), counted, earlier_only)
+
+
+def _but_firsts(members: DataFrame, classes: DataFrame, earlier_only: bool) -> DataFrame:
+    """(row, low, high) of members that have a match, or one that is earlier, in their class.
+
+    Those without are the first of each class, or of each class of one. They are taken away by
+    (row, low), which no two members share: sums by that key are spread evenly, however many
+    members a class has.
+    """
+    without = classes if earlier_only else classes.where("n = 1")
+    marks = without.select("first.row", "first.low", F.lit(None).cast("int").alias("high"))
+    marked = members.select("row", "low", "high").unionAll(marks).groupBy("row", "low")
+    # A mark adds a second row to the key of its member.
+    return marked.agg(F.count("*").alias("rows"), F.max("high").alias("high")).where("rows = 1").drop("rows")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, earlier_only: bool = False) -> DataFrame:
@@ -311,11 +318,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, earlier_only: bool =
         ),
         "run-classes",
     )
-    copies = candidates.join(classes.where("n > 1"), ["anchor", "run"])
-    if earlier_only:
-        copies = copies.where(
-            (F.col("row") != F.col("first.row")) | (F.col("low") != F.col("first.low"))
-        )
+    copies = _but_firsts(candidates, classes, earlier_only)
     variants = classes.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
     wanted = classes.join(variants, "anchor").select("anchor", "variants", "first.*")
     segments = materialize(_segments(docs, wanted, length), "segments")
