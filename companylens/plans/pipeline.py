@@ -99,12 +99,12 @@ class PipelineResult:
 
     def get_stage(self, name: str) -> DataFrame:
         if name not in self.stages:
-            raise ContractError(f"Unknown stage: {name!r}. Expected one of: {STAGE_NAMES}.")
+            raise ContractError(f"No stage is called {name!r}; there are {STAGE_NAMES}.")
         return self.stages[name]
 
     def get_table(self, name: str) -> DataFrame:
         if name not in self.tables:
-            raise ContractError(f"Unknown table: {name!r}. Expected one of: {TABLE_NAMES}.")
+            raise ContractError(f"No table is called {name!r}; there are {TABLE_NAMES}.")
         return self.tables[name]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -256,6 +257,53 @@ def validate_result(result: PipelineResult) -> None:
         raise ContractError("Result does not contain the expected tables.")
 
 
+def replace_folder(spark: SparkSession, staged: str, target: str) -> None:
+    """Put a finished folder in the place of another one.
+
+    The old folder is moved aside, and back again if the new one can't take its place. It is
+    deleted when the new one stands.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    new, place = path(staged), path(target)
+    aside = path(f"{target.rstrip('/')}.old-{uuid.uuid4().hex}")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    had_one = files.exists(place)
+    if had_one and not files.rename(place, aside):
+        raise OSError(f"Could not move the earlier export aside: {target}")
+    if not files.rename(new, place):
+        if had_one:
+            files.rename(aside, place)
+        raise OSError(f"Could not put the export in place: {target}")
+    if had_one:
+        files.delete(aside, True)
+
+
+def _write_artifacts(result: PipelineResult, folder: str, company_level: bool) -> list[str]:
+    """Tables, optional company layer and metadata below ``folder``; the manifest comes last."""
+    spark = result.quality.sparkSession
+    # The tables are independent small jobs: submit a few at a time.
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        written = pool.map(
+            lambda name: write_table_csv(
+                result.get_table(name), posixpath.join(folder, name), small=name in FIXED_SIZE
+            ),
+            TABLE_NAMES,
+        )
+        list(written)
+    artifacts = list(TABLE_NAMES)
+    if company_level:
+        write_table_csv(result.quality, posixpath.join(folder, COMPANY_LEVEL))
+        artifacts.append(COMPANY_LEVEL)
+    metadata = posixpath.join(folder, RUN_METADATA)
+    run_metadata(result).coalesce(1).write.json(metadata)
+    name_files(spark, metadata, "json")
+    artifacts.append(RUN_METADATA)
+    manifest = posixpath.join(folder, MANIFEST)
+    create_manifest(spark, folder, artifacts).write.json(manifest)
+    name_files(spark, manifest, "json")
+    return [*artifacts, MANIFEST]
+
+
 def export_result(
     result: PipelineResult,
     directory: str,
@@ -266,46 +314,35 @@ def export_result(
 ) -> ExportResult:
     """Write seven tables, optional company layer, metadata and manifest.
 
-    Company-level rows are left out by default for private sources. With
-    ``overwrite`` the directory is emptied first, so nothing of an earlier export stays;
-    without it, a directory that holds files is refused.
+    Company-level rows are left out by default for private sources. Everything is written to
+    a new folder beside the directory, the manifest last, and takes its place when complete: a
+    run that fails leaves an earlier export as it was, one that succeeds leaves nothing of it.
+    A directory that holds files is refused without ``overwrite``, and in any case if it has
+    no manifest, as it is no export then.
     """
     validate_result(result)
     spark = result.quality.sparkSession
     target = check_publication(
         result.source_name, directory, public_root, allow_private_public_export
     )
-    if not overwrite and has_files(spark, target):
-        raise FileExistsError(f"Export directory is not empty: {target}")
-    delete_path(spark, target)
+    if has_files(spark, target):
+        if not overwrite:
+            raise FileExistsError(f"Export directory is not empty: {target}")
+        if not has_files(spark, posixpath.join(target, MANIFEST)):
+            raise FileExistsError(f"Directory holds files, but no export: {target}")
     if include_company_level is None:
         include_company_level = result.source_name == PUBLIC_SOURCE
 
-    # The tables are independent small jobs: submit a few at a time.
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        written = pool.map(
-            lambda name: write_table_csv(
-                result.get_table(name), posixpath.join(target, name), small=name in FIXED_SIZE
-            ),
-            TABLE_NAMES,
-        )
-        list(written)
-    artifacts = list(TABLE_NAMES)
-    if include_company_level:
-        write_table_csv(result.quality, posixpath.join(target, COMPANY_LEVEL))
-        artifacts.append(COMPANY_LEVEL)
-    folder = posixpath.join(target, RUN_METADATA)
-    run_metadata(result).coalesce(1).write.json(folder)
-    name_files(spark, folder, "json")
-    artifacts.append(RUN_METADATA)
-
-    # Files are hashed once; the result is the stored manifest.
-    folder = posixpath.join(target, MANIFEST)
-    hashed = create_manifest(spark, target, artifacts)
-    hashed.write.json(folder)
-    name_files(spark, folder, "json")
-    manifest = spark.read.schema(hashed.schema).json(folder).orderBy("filename")
-    return ExportResult(result.source_name, target, (*artifacts, MANIFEST), manifest)
+    staged = f"{target.rstrip('/')}.new-{uuid.uuid4().hex}"
+    try:
+        artifacts = _write_artifacts(result, staged, include_company_level)
+        replace_folder(spark, staged, target)
+    except BaseException:
+        delete_path(spark, staged)
+        raise
+    manifest = spark.read.schema("filename string, size_bytes long, sha256 string")
+    manifest = manifest.json(posixpath.join(target, MANIFEST)).orderBy("filename")
+    return ExportResult(result.source_name, target, tuple(artifacts), manifest)
 
 
 def run_and_export(

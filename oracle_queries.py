@@ -285,13 +285,13 @@ graded as (select *, case when health_score >= 90 then 'AAA' when health_score >
     else 'CCC / Distressed' end as grade from scored)"""
 BANDS = f"""case grade when 'AAA' then '#10B981' when 'AA' then '#34D399' when 'A' then '#60A5FA' when 'BBB' then '#FBBF24'
     when 'BB' then '#F97316' when 'B' then '#EF4444' else '#991B1B' end as grade_color,
-  case grade when 'AAA' then 'Prime Institutional Grade • Clean data and robust operating performance.'
-    when 'AA' then 'High Grade • Strong fundamental reliability with negligible anomalies.'
-    when 'A' then 'Upper Medium Grade • Favorable financial posture with minor review flags.'
-    when 'BBB' then 'Investment Grade • Moderate operational profile requiring standard screening.'
-    when 'BB' then 'Speculative Grade • Notable business risk or quality-control observations.'
-    when 'B' then 'High Risk • Substantial operating distress or acute data inconsistencies.'
-    else 'Severe Distress • Critical solvency impairment or extreme data integrity defects.' end as assessment"""
+  case grade when 'AAA' then 'Very strong: complete, consistent figures and sound operations.'
+    when 'AA' then 'Strong: reliable figures with hardly a remark.'
+    when 'A' then 'Good: healthy figures, a few points to look at.'
+    when 'BBB' then 'Fair: average figures, the usual checks apply.'
+    when 'BB' then 'Uncertain: clear risk signals or doubts about the data.'
+    when 'B' then 'Weak: heavy losses or figures that contradict each other.'
+    else 'Very weak: existence in question or figures beyond use.' end as assessment"""
 
 
 def percent_rank(metric: str, name: str, compared: str) -> str:

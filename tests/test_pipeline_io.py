@@ -127,9 +127,9 @@ def test_pipeline(result, quality):
     assert tuple(result.tables) == TABLE_NAMES
     assert result.quality.schema.simpleString() == quality.schema.simpleString()
     assert sorted(map(str, result.quality.collect())) == sorted(map(str, quality.collect()))
-    with pytest.raises(ContractError, match="Unknown stage"):
+    with pytest.raises(ContractError, match="No stage is called"):
         result.get_stage("raw")
-    with pytest.raises(ContractError, match="Unknown table"):
+    with pytest.raises(ContractError, match="No table is called"):
         result.get_table("raw")
     with pytest.raises(ContractError, match="positive"):
         pipeline.create_analytical_tables(quality, True)
@@ -190,6 +190,30 @@ def test_overwrite_leaves_nothing_behind(spark, tmp_path, result):
     assert not {export.COMPANY_LEVEL, "old_table"} & left
 
 
+def test_failed_export_leaves_the_earlier_one(spark, tmp_path, result, monkeypatch):
+    target = tmp_path / "out"
+    export.export_result(result, str(target))
+    content = lambda: {p.relative_to(target): p.read_bytes() for p in target.rglob("*.csv")}
+    before = content()
+
+    def fail(*_):
+        raise RuntimeError("stopped half-way")
+
+    monkeypatch.setattr(export, "run_metadata", fail)
+    with pytest.raises(RuntimeError, match="half-way"):
+        export.export_result(result, str(target))
+    assert content() == before and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_export_refuses_a_folder_that_is_none(spark, tmp_path, result):
+    target = tmp_path / "photos"
+    target.mkdir()
+    (target / "holiday.csv").write_text("x")
+    with pytest.raises(FileExistsError, match="no export"):
+        export.export_result(result, str(target))
+    assert (target / "holiday.csv").read_text() == "x"
+
+
 def test_export_text_of_numbers(spark):
     numbers = [0.0, -0.0, 0.9, 1 / 3, -1234567.891234, 1e10, 123456789012.0, 0.00001234, 5e-324, 2.5, None]
     texts = ["0", "0", "0.9", "0.3333333333", "-1234567.891", "1e+10", "1.23456789e+11", "1.234e-05", None, "2.5", None]
