@@ -5,9 +5,12 @@ text holds term i. The factors let a pair of terms count for more, or less, than
 both: an insult beside the mention of a group, where either alone says little. The sum over
 pairs is computed as half of (sum of v)^2 - sum of v^2, in time linear in the terms.
 
-Terms are hashed words and stems. Of the ``BUCKETS`` hash buckets, the model uses those whose
-frequency differs between the classes (z score of ``MIN_Z``), ``MAX_TERMS`` at most; the counts
-behind that are added up by Spark over the whole training sample.
+Terms are hashed words and stems, in ``BUCKETS`` buckets. A term enters the model if it says
+something alone or in a pair: if its frequency differs between the classes (z score of
+``MIN_Z``), or if the texts that hold it together with another term are mislabelled to one side
+by the single terms (score test, z of ``MIN_PAIR_Z``). All pairs of terms that could reach that
+score are tested, each in one task, and there is no cap on the terms. Weights and factors of
+all of them are then learnt together.
 """
 
 from __future__ import annotations
@@ -29,7 +32,13 @@ from companylens.operators.distributed import materialize
 BUCKETS = 1 << 20
 STEMS = (4, 5)
 MIN_Z = 4.0
-MAX_TERMS = 1_024
+# One of 500 million pairs reaches this by chance. A pair in n texts has a score of sqrt(n) at
+# most, so terms in fewer than its square need not be paired.
+MIN_PAIR_Z = 6.0
+PAIR_TEXTS = int(MIN_PAIR_Z**2)
+# Cells looked at in one go by the pair test; does not change its result.
+PAIR_BLOCK = 1 << 20
+PAIR_TASKS = 64
 FACTORS = 8
 # Texts of each class to learn from, at most.
 PER_CLASS = 6_000
@@ -55,7 +64,14 @@ class FactorizationMachine:
         return out
 
 
-def fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms: int) -> FactorizationMachine:
+def class_weights(labels: np.ndarray) -> np.ndarray:
+    """Both classes weigh the same, whatever their numbers."""
+    return np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
+
+
+def fit(
+    rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms: int, n_factors: int = FACTORS
+) -> FactorizationMachine:
     """Logistic loss with L2 penalties, minimised by Adam over all training rows."""
     random = np.random.default_rng(7)
     n = len(labels)
@@ -63,10 +79,9 @@ def fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms: int) -
         np.zeros(0, np.int32),
         0.0,
         np.zeros(n_terms),
-        random.normal(0, 0.05, (n_terms, FACTORS)),
+        random.normal(0, 0.05, (n_terms, n_factors)),
     )
-    # Both classes weigh the same, whatever their numbers.
-    weight = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
+    weight = class_weights(labels)
     state: dict[str, list] = {}
 
     def step(name: str, value, gradient, rate: float, t: int):
@@ -80,7 +95,7 @@ def fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms: int) -
         error = weight * (1 / (1 + np.exp(-margin)) - labels)
         linear = np.bincount(terms, weights=error[rows], minlength=n_terms) + 1e-5 * model.linear
         factors = np.empty_like(model.factors)
-        for f in range(FACTORS):
+        for f in range(n_factors):
             value = model.factors[terms, f]
             total = np.bincount(rows, weights=value, minlength=n)
             factors[:, f] = np.bincount(terms, weights=error[rows] * (total[rows] - value), minlength=n_terms)
@@ -91,11 +106,91 @@ def fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms: int) -
     return model
 
 
+@dataclass
+class PairTest:
+    """Texts with their terms, ascending, and errors of the single terms; tests pairs of terms."""
+
+    row_starts: np.ndarray
+    terms: np.ndarray
+    # Places in ``terms`` of each term, one term after the other, and the texts they belong to.
+    term_starts: np.ndarray
+    places: np.ndarray
+    rows: np.ndarray
+    error: np.ndarray
+    # What the single terms expect of the error's square.
+    expected: np.ndarray
+
+    @classmethod
+    def of(
+        cls, rows: np.ndarray, terms: np.ndarray, error: np.ndarray, expected: np.ndarray, n_terms: int
+    ) -> PairTest:
+        order = np.lexsort((terms, rows))
+        rows, terms = rows[order], terms[order]
+        row_starts = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(error)))))
+        term_starts = np.concatenate(([0], np.cumsum(np.bincount(terms, minlength=n_terms))))
+        places = np.argsort(terms, kind="stable").astype(np.int32)
+        own = rows[places].astype(np.int32)
+        return cls(row_starts, terms.astype(np.int32), term_starts, places, own, error, expected)
+
+    def partners(self, term: int) -> np.ndarray:
+        """Higher terms that make a pair of sufficient score with ``term``.
+
+        The sum of errors is measured by what was expected and by what was found, whichever is
+        more: few surprises in texts that looked certain are no evidence, nor are many small
+        errors to one side.
+        """
+        n_terms = len(self.term_starts) - 1
+        mine = slice(self.term_starts[term], self.term_starts[term + 1])
+        rows, starts = self.rows[mine], self.places[mine].astype(np.int64) + 1
+        lengths = self.row_starts[rows + 1] - starts
+        total, square, expected = np.zeros(n_terms), np.zeros(n_terms), np.zeros(n_terms)
+        ends = np.cumsum(lengths)
+        low = 0
+        while low < len(rows):
+            done = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, done + PAIR_BLOCK, side="right")))
+            size = lengths[low:high]
+            first = np.repeat(starts[low:high] - (ends[low:high] - size - done), size)
+            others = self.terms[first + np.arange(len(first))]
+            error = np.repeat(self.error[rows[low:high]], size)
+            total += np.bincount(others, weights=error, minlength=n_terms)
+            square += np.bincount(others, weights=error * error, minlength=n_terms)
+            expected += np.bincount(others, weights=np.repeat(self.expected[rows[low:high]], size), minlength=n_terms)
+            low = high
+        return np.flatnonzero(np.abs(total) >= MIN_PAIR_Z * np.sqrt(np.maximum(square, expected)) + 1e-12)
+
+
+def paired_terms(spark: SparkSession, test: PairTest) -> np.ndarray:
+    """Terms of all pairs that say something together; each task tests some terms with all others."""
+    n_terms = len(test.term_starts) - 1
+    shared = spark.sparkContext.broadcast(test)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            found = [np.zeros(0, np.int64)]
+            for term in batch.column(0).to_numpy():
+                partners = own.partners(int(term))
+                if len(partners):
+                    found += [np.array([term]), partners]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["term"])
+
+    # Pairs belong to their lower term, so that low terms have more to do: low and high ones
+    # take turns.
+    place = F.col("id")
+    turn = F.when(place % 2 == 0, place).otherwise(F.lit(n_terms - n_terms % 2) - place)
+    terms = spark.range(0, n_terms, 1, PAIR_TASKS).select(turn.alias("term"))
+    found = terms.mapInArrow(run, "term long").distinct()
+    # At most the terms tested.
+    return np.sort(np.array([r["term"] for r in found.collect()], np.int64))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int = PER_CLASS) -> FactorizationMachine:
     """Fit on a sample of ``per_class`` texts of each class at most.
 
-    Copies of a text count once. Without texts of both classes the model gives everything
-    the share of ones, or 0.5 without labels.
+    Copies of a text count once; texts whose copies have both labels teach nothing and are left
+    out. Without texts of both classes the model gives everything the share of ones, or 0.5
+    without labels.
     """
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,31 +228,51 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_c
 
     pooled = (F.col("n0") + F.col("n1")) / F.lit(float(zeros + ones))
     spread = F.sqrt(pooled * (1 - pooled) * (1 / zeros + 1 / ones))
-    chosen = (
+    counts = (
         bags.select("label", F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.sum(1 - F.col("label")).alias("n0"), F.sum("label").alias("n1"))
         .withColumn("z", F.abs(F.col("n1") / ones - F.col("n0") / zeros) / (spread + 1e-9))
-        .where(F.col("z") >= MIN_Z)
-        .orderBy(F.desc("z"), "term")
-        .limit(MAX_TERMS)
-        .select("term")
+        .where((F.col("z") >= MIN_Z) | (F.col("n0") + F.col("n1") >= PAIR_TEXTS))
+        .withColumn("single", F.col("z") >= MIN_Z)
+        .select("term", "single", (F.col("n0") + F.col("n1") >= PAIR_TEXTS).alias("pairs"))
     )
-    terms = np.sort(np.array([r["term"] for r in chosen.collect()], np.int64))
-    place = np.full(BUCKETS, -1, np.int32)
-    place[terms] = np.arange(len(terms))
-    in_use = F.broadcast(chosen)
-    # Both are bounded by the sample and MAX_TERMS.
-    cells = bags.select("id", F.explode("terms").alias("term")).join(in_use, "term").toArrow()
+    # All three are bounded by the sample and the number of buckets.
+    listed = materialize(counts, "terms")
+    known = listed.toArrow()
+    cells = bags.select("id", F.explode("terms").alias("term")).join(F.broadcast(listed.select("term")), "term").toArrow()
     marks = bags.select("id", "label").toArrow()
+    order = np.argsort(known["term"].to_numpy())
+    buckets = known["term"].to_numpy()[order]
+    single, pairs = (known[c].to_numpy(zero_copy_only=False)[order] for c in ("single", "pairs"))
     ids = marks["id"].to_numpy()
-    order = np.argsort(ids)
-    rows = np.searchsorted(ids[order], cells["id"].to_numpy()).astype(np.int32)
-    used = place[cells["term"].to_numpy()]
+    by_id = np.argsort(ids)
+    truth = marks["label"].to_numpy()[by_id].astype(np.int64)
+    rows = np.searchsorted(ids[by_id], cells["id"].to_numpy()).astype(np.int32)
+    terms = np.searchsorted(buckets, cells["term"].to_numpy()).astype(np.int32)
     del cells
-    truth = marks["label"].to_numpy()[order].astype(np.int64)
-    model = fit(rows, used, truth, max(len(terms), 1))
-    model.place = place
+
+    def part(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and terms of the chosen ones, numbered from 0, and where each was."""
+        numbers = np.cumsum(chosen) - 1
+        keep = chosen[terms]
+        return rows[keep], numbers[terms[keep]], np.flatnonzero(chosen)
+
+    alone_rows, alone, places = part(single)
+    linear = fit(alone_rows, alone, truth, max(len(places), 1), 0)
+    margin = np.clip(linear.margins(alone_rows, alone, len(truth)), -30, 30)
+    share, weight = 1 / (1 + np.exp(-margin)), class_weights(truth)
+    error, expected = weight * (share - truth), weight * weight * share * (1 - share)
+    pair_rows, paired, places = part(pairs)
+    chosen = single.copy()
+    if len(places):
+        test = PairTest.of(pair_rows, paired, error, expected, len(places))
+        chosen[places[paired_terms(docs.sparkSession, test)]] = True
+
+    used_rows, used, places = part(chosen)
+    model = fit(used_rows, used, truth, max(len(places), 1))
+    model.place = np.full(BUCKETS, -1, np.int32)
+    model.place[buckets[places]] = np.arange(len(places))
     return model
 
 

@@ -8,13 +8,13 @@ import pyarrow as pa
 import pytest
 from llm_brute import base_scores, fold
 
-from companylens.llm import langmodel
+from companylens.llm import langmodel, toxicity
 from companylens.llm.features import QUALITY_FEATURES, quality_features
 from companylens.llm.gam import AdditiveModel, classify_quality, fit, keep_good
 from companylens.llm.kernels import mix, text_bytes
 from companylens.llm.langmodel import BITS_PER_EVENT, LEVELS, CountFilter, bucket_of, fill, level_of, score_corpus
 from companylens.llm.queries import QUERIES
-from companylens.llm.toxicity import classify_toxicity
+from companylens.llm.toxicity import MIN_PAIR_Z, PairTest, classify_toxicity, paired_terms
 from companylens.llm.toxicity import fit as fit_terms
 
 
@@ -145,6 +145,67 @@ def test_factors_learn_what_sums_cannot():
     assert model.factors[0] @ model.factors[1] > 0.5
 
 
+@pytest.mark.parametrize("toxic", [lambda a, b: a != b, lambda a, b: a and b])
+@pytest.mark.parametrize(("vocabulary", "words"), [(40, 10), (400, 30)])
+def test_pairs_that_say_nothing_alone(spark, toxic, vocabulary, words):
+    """Either of insult and mention, or both, through the whole training."""
+    own = random.Random(5)
+    docs, labels = [], []
+    for i in range(1_200):
+        plain = [f"{own.randrange(vocabulary):b}".translate({48: "o", 49: "k"}) + "ish" for _ in range(words)]
+        insult, mention = own.random() < 0.5, own.random() < 0.5
+        for word, there in (("Stupid", insult), ("strangers", mention)):
+            if there:
+                plain.insert(own.randrange(words), word)
+        docs.append((i, " ".join(plain)))
+        labels.append((i, int(toxic(insult, mention))))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = classify_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    judged = [r["predicted"] == labels[r["doc_id"]][1] for r in rows if r["held_out"]]
+    assert len(judged) > 200
+    assert sum(judged) > 0.95 * len(judged)
+
+
+def test_pair_scores_by_brute_force(spark, monkeypatch):
+    own = np.random.default_rng(6)
+    n, n_terms = 400, 25
+    held = own.random((n, n_terms)) < np.linspace(0.05, 0.9, n_terms)
+    held[:, 3] = held[:, 20]
+    share = own.random(n)
+    truth = held[:, 10] ^ held[:, 20]
+    error, expected = share - truth, share * (1 - share)
+    wanted = set()
+    for i in range(n_terms):
+        for j in range(i):
+            both = held[:, i] & held[:, j]
+            spread = max((error[both] ** 2).sum(), expected[both].sum())
+            if both.any() and abs(error[both].sum()) >= MIN_PAIR_Z * math.sqrt(spread):
+                wanted |= {i, j}
+    rows, terms = np.nonzero(held)
+    shuffled = own.permutation(len(rows))
+    assert wanted and len(wanted) < n_terms
+    for block in (1 << 20, 7):
+        monkeypatch.setattr(toxicity, "PAIR_BLOCK", block)
+        test = PairTest.of(rows[shuffled], terms[shuffled], error, expected, n_terms)
+        assert set().union(*({i, *test.partners(i)} for i in range(n_terms) if len(test.partners(i)))) == wanted
+    assert set(paired_terms(spark, test)) == wanted
+
+
+def test_margins_by_brute_force():
+    own = np.random.default_rng(2)
+    model = toxicity.FactorizationMachine(np.zeros(0), 0.3, own.normal(size=6), own.normal(size=(6, 3)))
+    bags = [[], [2], [0, 1, 5], [0, 1, 2, 3, 4, 5]]
+    rows = np.repeat(np.arange(4), [len(b) for b in bags])
+    terms = np.array([t for b in bags for t in b])
+    plain = [
+        0.3
+        + sum(model.linear[t] for t in b)
+        + sum(model.factors[i] @ model.factors[j] for i in b for j in b if i < j)
+        for b in bags
+    ]
+    assert model.margins(rows, terms, 4) == pytest.approx(plain)
+
+
 def labelled(spark):
     own = random.Random(9)
     docs, labels = [], []
