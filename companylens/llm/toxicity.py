@@ -124,13 +124,12 @@ class PairTest:
     def of(
         cls, rows: np.ndarray, terms: np.ndarray, error: np.ndarray, expected: np.ndarray, n_terms: int
     ) -> PairTest:
-        order = np.lexsort((terms, rows))
-        rows, terms = rows[order], terms[order]
+        """``rows`` and ``terms`` are in the order of rows, then terms."""
         row_starts = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(error)))))
         term_starts = np.concatenate(([0], np.cumsum(np.bincount(terms, minlength=n_terms))))
         places = np.argsort(terms, kind="stable").astype(np.int32)
-        own = rows[places].astype(np.int32)
-        return cls(row_starts, terms.astype(np.int32), term_starts, places, own, error, expected)
+        own = rows[places].astype(np.int32, copy=False)
+        return cls(row_starts, terms.astype(np.int32, copy=False), term_starts, places, own, error, expected)
 
     def partners(self, term: int) -> np.ndarray:
         """Higher terms that make a pair of sufficient score with ``term``.
@@ -237,24 +236,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_c
         .withColumn("single", F.col("z") >= MIN_Z)
         .select("term", "single", (F.col("n0") + F.col("n1") >= PAIR_TEXTS).alias("pairs"))
     )
-    # All three are bounded by the sample and the number of buckets.
-    listed = materialize(counts, "terms")
-    known = listed.toArrow()
-    cells = bags.select("id", F.explode("terms").alias("term")).join(F.broadcast(listed.select("term")), "term").toArrow()
-    marks = bags.select("id", "label").toArrow()
-    order = np.argsort(known["term"].to_numpy())
-    buckets = known["term"].to_numpy()[order]
-    single, pairs = (known[c].to_numpy(zero_copy_only=False)[order] for c in ("single", "pairs"))
-    ids = marks["id"].to_numpy()
-    by_id = np.argsort(ids)
-    truth = marks["label"].to_numpy()[by_id].astype(np.int64)
-    rows = np.searchsorted(ids[by_id], cells["id"].to_numpy()).astype(np.int32)
-    terms = np.searchsorted(buckets, cells["term"].to_numpy()).astype(np.int32)
-    del cells
+    # Both are bounded by the sample and the number of buckets.
+    known = counts.toArrow().sort_by("term")
+    buckets = known["term"].to_numpy()
+    single, pairs = (known[c].to_numpy() for c in ("single", "pairs"))
+    numbers = np.full(BUCKETS, -1, np.int32)
+    numbers[buckets] = np.arange(len(buckets))
+    shared = docs.sparkSession.sparkContext.broadcast(numbers)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            terms = shared.value[lists.flatten().to_numpy()]
+            owners = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[terms >= 0]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=len(lists))))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(terms[terms >= 0]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), lists], ["id", "label", "terms"])
+
+    marks = bags.select("id", "label", "terms").mapInArrow(numbered, "id long, label int, terms array<int>")
+    marks = marks.toArrow().sort_by("id")
+    truth = marks["label"].to_numpy().astype(np.int64)
+    lists = marks["terms"].combine_chunks()
+    terms = lists.flatten().to_numpy()
+    rows = np.repeat(np.arange(len(truth), dtype=np.int32), lists.value_lengths().to_numpy())
 
     def part(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows and terms of the chosen ones, numbered from 0, and where each was."""
-        numbers = np.cumsum(chosen) - 1
+        numbers = (np.cumsum(chosen) - 1).astype(np.int32)
         keep = chosen[terms]
         return rows[keep], numbers[terms[keep]], np.flatnonzero(chosen)
 
