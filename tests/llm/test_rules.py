@@ -180,6 +180,45 @@ def test_constant_texts_inside_articles(spark):
         assert texts[100 + i] == sentence(9)
 
 
+@pytest.mark.parametrize(
+    "name", ["content has-sidebar", "post no-comments", "col with-header", "entry form-page", "article-body related-less"]
+)
+def test_names_that_say_what_an_element_has_or_lacks(name):
+    html = f"<body><div class='site-header'>Top</div><div class='{name}'><p>One</p><p>Two</p></div><div class=sidebar>Side</div></body>"
+    assert main_text(read_page(html), None, False, frozenset()) == "One\n\nTwo"
+
+
+def test_names_around_the_only_article():
+    inner = "<article><h1>Title</h1><p>One</p><div class=comment-list><p>Nice!</p></div></article>"
+    html = f"<body><div class='header-overlay'><div class=menu>Menu</div>{inner}</div></body>"
+    assert main_text(read_page(html), None, False, frozenset()) == "Title\n\nOne"
+    comments = "<body><p>Text</p><div class=comments><article class=comment-body><p>Nice!</p></article></div></body>"
+    assert main_text(read_page(comments), None, False, frozenset()) == "Text"
+    deep = "<div>" * 20_000 + "<p>Down here</p>"
+    assert main_text(read_page(deep), None, False, frozenset()) == "Down here"
+
+
+def test_near_copies_and_page_types(spark):
+    """Near copies keep their common paragraphs; each of two layouts of a host has its own template."""
+    rows = []
+    for i in range(8):
+        html = f"<article><p>{sentence(1)}</p><p>{sentence(2)}</p><p>Edition {i} corrected by desk {i}.</p></article>"
+        rows.append((i, f"http://a.example/{i}", f"<html><body>{html}</body></html>"))
+        same = f"<div class=a>{sentence(3)}</div>"
+        rows.append((100 + i, f"http://b.example/{i}", f"<html><body>{same}</body></html>"))
+        one = f"<div class=top>Welcome to our portal</div><div class=text><p>{sentence(10 + i)}</p><p>{sentence(30 + i)}</p></div>"
+        two = f"<section class=call>Sign our petition today</section><section class=story><p>{sentence(50 + i)}</p></section>"
+        rows.append((200 + i, f"http://c.example/{i}", f"<html><body class='page-{i}'>{one}</body></html>"))
+        rows.append((300 + i, f"http://c.example/x{i}", f"<html><body>{two}</body></html>"))
+    found = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {r["page_id"]: r["text"] for r in found}
+    for i in range(8):
+        assert texts[i] == f"{sentence(1)}\n\n{sentence(2)}\n\nEdition {i} corrected by desk {i}."
+        assert texts[100 + i] == sentence(3)
+        assert texts[200 + i] == f"{sentence(10 + i)}\n\n{sentence(30 + i)}"
+        assert texts[300 + i] == sentence(50 + i)
+
+
 def test_pages_of_the_driver_tables(spark, sf_dir):
     rows = QUERIES["op3_template_extraction"](spark, sf_dir).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
