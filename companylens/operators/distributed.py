@@ -23,6 +23,8 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 # At most this many of the most frequent keys are attached by broadcast when
 # the whole table is too large for it, and their rows are spread out.
 HOT_KEYS = 1_000
+# Folders of local sessions without spark.checkpoint.dir, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,9 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach.")
-    folder = tempfile.mkdtemp(prefix="companylens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # The setting is fixed once a session runs, so the folder is remembered here.
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="companylens-")
+    return _LOCAL_FOLDERS[application]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -43,14 +47,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{application}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
     Later passes scan stored columns instead of repeating the plan, and a lost
-    executor costs a re-read, not a recomputation.
+    executor costs a re-read, not a recomputation. ``compression`` is a Parquet
+    codec; without it the session's is taken.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -76,7 +81,7 @@ def _same_keys(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Colum
 
 
 def _row_bytes(df: DataFrame) -> Column:
-    """Approximate size of a row, with the real length of texts and arrays."""
+    """Approximate size of a row, with the real length of texts and arrays, also of arrays of texts."""
     parts = []
     for column in df.schema:
         value = F.col(column.name)
@@ -84,11 +89,18 @@ def _row_bytes(df: DataFrame) -> Column:
             parts.append(16 + F.coalesce(F.octet_length(value), F.lit(0)))
         elif isinstance(column.dataType, T.ArrayType):
             parts.append(16 + 8 * F.coalesce(F.cardinality(value), F.lit(0)))
+            if isinstance(column.dataType.elementType, T.StringType):
+                parts.append(F.coalesce(F.octet_length(F.array_join(value, "")), F.lit(0)))
         else:
             parts.append(F.lit(16))
     return reduce(lambda a, b: a + b, parts).cast("long")
 
 
+def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the measured size of a stored table allows a broadcast."""
+    return table.agg(F.coalesce(F.sum(_row_bytes(table)), F.lit(0))).first()[0] <= limit
+
+
 def _digest(keys: Iterable[str]) -> Column:
     """Digest of key values, whatever the key columns are called."""
     named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
