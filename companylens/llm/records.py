@@ -4,7 +4,7 @@ A data file is a run of records:
 
     length    8 bytes  little-endian, bytes of the payload
     check     4 bytes  masked CRC-32 of those 8 bytes
-    payload   8 bytes  doc_id (signed), 4 bytes width of an id (2 or 4), then the ids
+    payload   8 bytes  doc_id (signed; the lowest number: none), 4 bytes width of an id (2 or 4), then the ids
     check     4 bytes  masked CRC-32 of the payload
     newline   1 byte   0x0A, written by Spark's text sink between records
 
@@ -35,6 +35,8 @@ MASK_ADD = 0xA282EAD8
 
 RECORDS_PER_FILE = 4_000
 END_ID = 1
+# In the place of a null doc_id.
+NO_ID = -(1 << 63)
 
 INDEX_SCHEMA = (
     "file string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long"
@@ -96,16 +98,16 @@ def write_records(
 
     Rows are range-partitioned on ``doc_id``; file names ascend with the partition, so
     files in name order hold ascending ids. Repeated ids stay, ordered by text. Rows
-    without a doc_id can't be addressed later and raise. A null text counts as empty.
+    without a doc_id come first, with NO_ID in its place; only a true id of that value
+    raises. A null text counts as empty.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         docs.select(
-            F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("doc_id is null")))
-            .otherwise(F.col("doc_id"))
-            .cast("long")
+            F.when(F.col("doc_id").cast("long") == NO_ID, F.raise_error(F.lit("doc_id is reserved")))
+            .otherwise(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
             .alias("doc_id"),
             F.col("text").cast("string").alias("text"),
         )
@@ -153,7 +155,7 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch.column("file"), batch.column("content"), strict=True):
                 rows = [
-                    (offset, length, doc_id, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+                    (offset, length, None if doc_id == NO_ID else doc_id, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
                     for offset, length, doc_id, ids in read_records(content.as_buffer())
                 ]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
@@ -189,7 +191,7 @@ def token_starts(index: DataFrame) -> DataFrame:
 def encode_corpus(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write the records and the index below ``path``; return the stored index with starts.
 
-    Nulls: a null text is empty, a null doc_id raises. Other columns are ignored. An
+    Nulls: a null text is empty; records without a doc_id come first and stay without. Other columns are ignored. An
     empty table gives an empty index.
     """
     spark = docs.sparkSession

@@ -86,10 +86,13 @@ def test_damage_is_found(at):
 
 def test_records_of_untidy_rows(spark, untidy, nothing):
     assert encode_corpus(nothing).count() == 0
-    known = untidy.where("doc_id is not null")
-    assert encode_corpus(known).count() == known.count()
-    with pytest.raises(Exception, match="doc_id is null"):
-        encode_corpus(untidy).count()
+    rows = encode_corpus(untidy).collect()
+    assert len(rows) == untidy.count()
+    # Records without an id are the first ones.
+    assert [r["start"] == 0 for r in rows if r["doc_id"] is None] == [True]
+    assert sum(r["n_tokens"] for r in rows) == max(r["start"] + r["n_tokens"] for r in rows)
+    with pytest.raises(Exception, match="doc_id is reserved"):
+        encode_corpus(untidy.selectExpr("-9223372036854775807L - 1 AS doc_id", "text")).count()
 
 
 def check_packing(rows, capacity):
