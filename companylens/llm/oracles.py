@@ -66,7 +66,7 @@ nearest as (select doc_id, min(greatest(c.distance / ({rules.CHAR_LIMIT} + {rule
     from char_distance c join word_distance w using (doc_id, lang) join base using (doc_id) group by doc_id)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
   n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-  not base_failed and coalesce(excess <= 1, true) as kept
+  not base_failed and (coalesce(lang not in ('', {_LANGS}), false) or coalesce(excess <= 1, true)) as kept
 from base left join nearest using (doc_id)"""
 
 OP13 = rf"""

@@ -222,8 +222,10 @@ def word_distance(lang: str) -> Column:
 def judge(docs: DataFrame) -> DataFrame:
     """Measures, distances and verdict for every row of ``docs``.
 
-    A null text has no words and fails the base rules. A null or unknown ``lang``, or none
-    at all, keeps a text out of the references only. Repeated rows and null ids are rows
+    A null text has no words and fails the base rules. A null or empty ``lang``, or no such
+    column, keeps a text out of the references only. A text in a language that is not in
+    ``COMMON_WORDS`` has nothing to be measured against and is judged by the base rules
+    alone. Repeated rows and null ids are rows
     like any other; other columns are ignored. If no language has a reference, texts that
     pass the base rules are kept.
     """
@@ -245,6 +247,7 @@ def judge(docs: DataFrame) -> DataFrame:
             ]
         )
     )
+    uncovered = F.coalesce((F.col("lang") != "") & ~F.col("lang").isin(*COMMON_WORDS), F.lit(False))
     return judged.withColumn("excess", scored).select(
         "doc_id",
         "n_words",
@@ -253,7 +256,7 @@ def judge(docs: DataFrame) -> DataFrame:
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        (~F.col("base_failed") & F.coalesce(F.col("excess") <= 1, F.lit(True))).alias("kept"),
+        (~F.col("base_failed") & (uncovered | F.coalesce(F.col("excess") <= 1, F.lit(True)))).alias("kept"),
         "excess",
     )
 
