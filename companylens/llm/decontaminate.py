@@ -26,14 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from companylens.llm.quality_rules import bound
-from companylens.llm.rows import ROW, with_rows
-from companylens.operators.distributed import materialize
+from companylens.llm.rows import ROW, WHOLE, with_rows, with_whole_rows
+from companylens.operators.distributed import fits_broadcast, materialize
 
 WORDS = 5
 SHARE = 80
 # Windows need so many plain words; others say nothing.
 LITERALS = 2
-BROADCAST_WINDOWS = 1_000_000
 
 # Units that may follow a number.
 UNITS = (
@@ -185,7 +184,7 @@ def find_exact(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share:
     lengths = sorted(r["length"] for r in table.select("length").distinct().collect())
     if not lengths:
         return docs.sparkSession.createDataFrame([], "row long, item long, n_windows int, n_found long, n_slots int")
-    small = table.count() <= BROADCAST_WINDOWS
+    small = fits_broadcast(table)
     scanned = docs.select("row", exact_words(F.col("text").cast("string")).alias("tokens"))
     scanned = scanned.select("row", F.array_distinct(F.concat(*[_exact_windows(F.col("tokens"), n) for n in lengths])).alias("hash"))
     return (
@@ -213,7 +212,7 @@ def find_contamination(
     """
     exact = find_exact(docs, benchmark, words, share)
     table = materialize(benchmark_windows(benchmark, words), "benchmark-windows")
-    small = table.count() <= BROADCAST_WINDOWS
+    small = fits_broadcast(table)
     distinct = table.select("item", "window", "hash", "n_windows").distinct()
     enough = 100 * F.col("n_found") >= share * F.col("n_windows")
 
@@ -288,14 +287,14 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` without any benchmark item, with all their columns."""
-    keyed = with_rows(docs)
+    keyed = with_whole_rows(docs)
     items = with_rows(benchmark.select("item_id", "text"), "item_id").withColumnRenamed(ROW, "item")
     found = find_contamination(
-        keyed.select(F.col(ROW).alias("row"), F.col("text").cast("string").alias("text")),
+        keyed.select(F.col(ROW).alias("row"), "text"),
         items.select("item", "text"),
     )
     gone = found.select(F.col("row").alias(ROW)).distinct()
-    return keyed.join(gone, ROW, "left_anti").select(docs.columns)
+    return keyed.join(gone, ROW, "left_anti").select(f"{WHOLE}.*")
 
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from companylens.llm.components import connected_components
 from companylens.llm.kernels import blocks, mix, text_bytes
-from companylens.llm.rows import ROW, with_rows
+from companylens.llm.rows import ROW, WHOLE, with_whole_rows
 from companylens.llm.shingles import WORDS, common_counts, shingle_sets
 from companylens.operators.distributed import materialize
 
@@ -321,10 +321,10 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS)
     Of a group the smallest doc_id stays; rows with null or repeated ids count as documents
     of their own, so of repeated rows one stays. Texts without words have no duplicates.
     """
-    keyed = with_rows(docs)
+    keyed = with_whole_rows(docs)
     found = near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text"), percent, words)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
-    return keyed.join(gone, ROW, "left_anti").select(docs.columns)
+    return keyed.join(gone, ROW, "left_anti").select(f"{WHOLE}.*")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from companylens.llm.kernels import blocks, prefix_sums, ragged, span_hashes, text_bytes
-from companylens.llm.rows import ROW, with_rows
+from companylens.llm.rows import ROW, WHOLE, with_rows, with_whole_rows
 from companylens.operators.distributed import materialize
 
 LENGTH = 200
@@ -438,9 +438,9 @@ def remove_repeats(
     are rows of their own, and copies of each other. An empty table stays empty.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
-    docs = with_rows(docs.drop(*added))
+    docs = with_whole_rows(docs.drop(*added))
     results = cut_repeats(docs, length, keep_first, whole_characters).withColumnRenamed("row", ROW)
-    return docs.join(results.select(ROW, *added), ROW).drop(ROW)
+    return docs.select(ROW, WHOLE).join(results.select(ROW, *added), ROW).select(f"{WHOLE}.*", *added)
 
 
 def cut_later_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -449,16 +449,19 @@ def cut_later_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``n_chars``, if there is such a column, is set to the new length where a text changed.
     No row goes, not even if nothing of its text is left.
     """
-    keyed = with_rows(docs)
-    results = cut_repeats(keyed, length).select(
-        F.col("row").alias(ROW), F.col("n_removed").alias("__removed"), F.col("kept_text").alias("__kept")
-    )
-    cut = keyed.join(results, ROW).withColumn("text", F.col("__kept"))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed = F.when(F.col("__removed") > 0, F.length("text").cast(kind))
-        cut = cut.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
-    return cut.select(docs.columns)
+    keyed = with_whole_rows(docs)
+    results = cut_repeats(keyed, length).select(F.col("row").alias(ROW), "n_removed", "kept_text")
+    cut = keyed.select(ROW, WHOLE).join(results, ROW)
+
+    def column(name: str):
+        old, kind = F.col(WHOLE)[name], docs.schema[name].dataType
+        if name == "text":
+            return F.col("kept_text").alias(name)
+        if name == "n_chars":
+            return F.when(F.col("n_removed") > 0, F.length("kept_text").cast(kind)).otherwise(old).alias(name)
+        return old.alias(name)
+
+    return cut.select([column(name) for name in docs.columns])
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from companylens.operators.distributed import materialize
 
 
 ROW = "__row"
+# All columns of a row, in a struct, so that no helper column meets one of the same name.
+WHOLE = "__whole"
 
 
 def with_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -23,6 +25,12 @@ def with_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.withColumn(ROW, F.col(key).cast("long"))
 
 
+def with_whole_rows(docs: DataFrame) -> DataFrame:
+    """ROW, doc_id, text and the struct WHOLE of all columns, whatever these are called."""
+    text = F.col("text").cast("string").alias("text")
+    return with_rows(docs.select("doc_id", text, F.struct("*").alias(WHOLE)))
+
+
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of the id's text modulo ``folds`` is ``fold``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))

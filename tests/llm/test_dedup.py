@@ -2,10 +2,12 @@
 
 import pytest
 from llm_brute import components, repeats, words
+from pyspark.sql import functions as F
 
 import companylens.llm.minhash as minhash
 import companylens.llm.repeats as repeated
 from companylens.llm.components import connected_components
+from companylens.llm.decontaminate import remove_contaminated
 from companylens.llm.queries import QUERIES
 from companylens.llm.rows import with_rows
 
@@ -118,3 +120,36 @@ def test_registered_queries(spark, sf_dir):
     expected = repeats([(r["doc_id"], r["text"]) for r in docs])
     assert {r[0]: tuple(r)[1:] for r in rows} == {i: x[:4] for i, x in expected.items()}
     assert any(words(t) for t in texts.values())
+
+
+CLASHES = ["__row", "__whole", "__kept", "__removed", "row", "n_removed", "kept_text", "a.b", "component_id"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, untidy):
+    """Columns named like helpers, with values to be found again."""
+    number = F.coalesce("doc_id", F.lit(-1)) * 100
+    return untidy.select("doc_id", "text", "n_chars", *[(number + i).alias(c) for i, c in enumerate(CLASHES)])
+
+
+@pytest.mark.parametrize("stage", ["cut", "near", "clean"])
+def test_columns_named_like_helpers(spark, clashing, stage):
+    items = spark.createDataFrame([(1, "no such text in any of the tables here")], "item_id long, text string")
+    out = {
+        "cut": lambda: repeated.cut_later_copies(clashing, 60),
+        "near": lambda: minhash.drop_near_duplicates(clashing),
+        "clean": lambda: remove_contaminated(clashing, items),
+    }[stage]()
+    assert out.columns == clashing.columns
+    rows = out.collect()
+    assert rows
+    for r in rows:
+        number = (-1 if r["doc_id"] is None else r["doc_id"]) * 100
+        assert [r[c] for c in CLASHES] == [number + i for i in range(len(CLASHES))]
+
+
+def test_added_columns_take_the_place_of_old_ones(clashing):
+    rows = repeated.remove_repeats(clashing, 60).collect()
+    assert len(rows) == clashing.count()
+    assert all(r["__row"] == (-1 if r["doc_id"] is None else r["doc_id"]) * 100 for r in rows)
+    assert all(len((r["text"] or "").encode()) == r["n_bytes"] for r in rows)

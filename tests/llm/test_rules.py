@@ -50,6 +50,16 @@ def test_divergence_rejects_odd_texts(spark):
     assert len(kept & {i for i, _, _ in rows}) >= len(rows) - 2
 
 
+def test_languages_without_a_reference(spark):
+    """They are judged by the base rules; texts without a language still meet all references."""
+    own = random.Random(4)
+    other = " ".join(own.choice("che non per una sono della il questo anche molto casa tempo vita grande".split()) + own.choice("abcdefg") for _ in range(150))
+    rows = [(i, sound_text(lang, 200, i), lang) for i, lang in enumerate(sorted(COMMON_WORDS) * 10)]
+    rows += [(1001, other, "it"), (1002, other, None), (1003, other, ""), (1004, "ciao " * 80, "it"), (1005, "poche parole", "it")]
+    found = judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["doc_id"] for r in found if r["kept"] and r["doc_id"] > 1000} == {1001}
+
+
 def sentence(seed, n=30):
     own = random.Random(seed)
     return " ".join(f"v{own.choice('abcdefgh')}{own.choice('klmnop')}{own.choice('rst')}" for _ in range(n))
