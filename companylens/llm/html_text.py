@@ -480,7 +480,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         F.col("html").cast("string"),
         host.alias("host"),
     )
-    parsed = materialize(parsed_pages(pages), "parsed-pages")
+    parsed = materialize(parsed_pages(pages), "parsed-pages", compression="zstd")
     templates = materialize(host_templates(parsed), "templates")
     lists = ("paths", "parents", "flags", "at", "keys", "sizes", "texts")
 
