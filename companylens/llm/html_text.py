@@ -436,14 +436,16 @@ def host_templates(parsed: DataFrame) -> DataFrame:
         counted(parsed.drop("page_id", "url", "texts").mapInArrow(tokens, TOKEN_SCHEMA), ["host", "frame"], F.count("*")),
         "page-tokens",
     )
-    of_hosts = counted(of_frames, ["host"], F.sum("pages")).withColumn("frame", F.lit(None).cast("long"))
+    # Stored, as it is read twice.
+    of_hosts = materialize(counted(of_frames, ["host"], F.sum("pages")), "host-tokens")
 
     def often(table: DataFrame, keys: list[str], least: int) -> DataFrame:
         sizes = table.where(f"kind = {PAGE} and pages >= {least}").select(*keys, F.col("pages").alias("n"))
         wanted = (F.col("pages") >= FRAME_SHARE * F.col("n")) & ((F.col("kind") == ELEMENT) | (F.col("n") >= MIN_PAGES))
         return table.where(f"kind <> {PAGE}").join(sizes, keys).where(wanted)
 
-    rows = often(of_frames, ["host", "frame"], MIN_PAGES).unionByName(often(of_hosts, ["host"], 1))
+    whole = often(of_hosts, ["host"], 1).withColumn("frame", F.lit(None).cast("long"))
+    rows = often(of_frames, ["host", "frame"], MIN_PAGES).unionByName(whole)
     rows = rows.withColumn("x", F.col("x").cast("string")).withColumn("y", F.col("y").cast("string"))
 
     def deduce(group: pa.Table) -> pa.Table:
