@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from companylens.operators.distributed import materialize
+from companylens.operators.distributed import fits_broadcast, materialize
 
 # A token is part of the template if it is on so much of the host's pages.
 FRAME_SHARE = 0.8
@@ -441,6 +441,8 @@ def host_templates(parsed: DataFrame) -> DataFrame:
 
     def often(table: DataFrame, keys: list[str], least: int) -> DataFrame:
         sizes = table.where(f"kind = {PAGE} and pages >= {least}").select(*keys, F.col("pages").alias("n"))
+        # A row for each group; broadcast if they are few, so that the tokens stay where they are.
+        sizes = F.broadcast(sizes) if fits_broadcast(sizes) else sizes
         wanted = (F.col("pages") >= FRAME_SHARE * F.col("n")) & ((F.col("kind") == ELEMENT) | (F.col("n") >= MIN_PAGES))
         return table.where(f"kind <> {PAGE}").join(sizes, keys).where(wanted)
 
