@@ -22,6 +22,8 @@ their slots.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,18 +47,22 @@ UNITS = (
 
 # A marker that texts hold only by accident, then the type: p name, n number, u unit, s word
 # with a capital where a sentence may begin.
+# A look ahead comes first: most places fail there, before a costlier look behind.
 MARK = "\x01"
-_NAME = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}[\p{L}'’-]*"
+_NAME = r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}[\p{L}'’-]*"
 # With the names right after it, so that names of different length fit the same slot.
 _START = (
-    r"(?<![\p{L}\p{N}" + MARK + r"])(?<![\p{L}\p{N}]['’-])(\p{Lu}\p{Ll}[\p{L}'’-]*)(?: +" + MARK + r"p[\p{L}'’-]+)*"
+    r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}" + MARK + r"])(?<![\p{L}\p{N}]['’-])"
+    r"(\p{Lu}\p{Ll}[\p{L}'’-]*)(?: +" + MARK + r"p[\p{L}'’-]+)*"
 )
-_NUMBER = r"(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*"
+_NUMBER = r"(?=[0-9])(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*"
 _UNIT = "(" + MARK + r"n[0-9.,]+) +(" + "|".join(UNITS) + r")\b"
 _BETWEEN = r"(?:(?![.,][0-9])[^\p{L}\p{N}" + MARK + "])+"
 
 
 _S = MARK + "s"
+# Code of no token.
+_NONE = -1
 
 
 def template_tokens(text: Column) -> Column:
@@ -81,76 +87,76 @@ def template_tokens(text: Column) -> Column:
     return bound(tokens, once)
 
 
-def _template(token: Column) -> Column:
-    """The type of a placeholder; a word where a sentence may begin is that word."""
-    return (
-        F.when(~token.startswith(MARK), token)
-        .when(token.startswith(_S), F.substring(token, 3, 1 << 30))
-        .otherwise(F.left(token, F.lit(2)))
-    )
+def _type_code(token: Column) -> Column:
+    return -F.ascii(F.substring(token, 2, 1)).cast("long")
 
 
-def _named(token: Column) -> Column:
-    """As ``_template``, but such a word is a name."""
-    return F.when(token.startswith(_S), F.lit(MARK + "p")).otherwise(_template(token))
+def _code(token: Column) -> Column:
+    """Number of a token's template: below 0 for a placeholder's type, else hash of the word.
 
+    A word where a sentence may begin is that word.
+    """
+    word = F.when(token.startswith(_S), F.substring(token, 3, 1 << 30)).otherwise(token)
+    hashed = F.shiftrightunsigned(F.xxhash64(word), 1)
+    return F.when(~token.startswith(MARK) | token.startswith(_S), hashed).otherwise(_type_code(token))
 
-def _hash_at(templates: Column, i: Column, words: int) -> Column:
-    """Hash of a window, null where it has too few plain words."""
-    parts = [F.get(templates, i + k) for k in range(words)]
-    plain = sum((F.coalesce(~p.startswith(MARK), F.lit(False)).cast("int") for p in parts), F.lit(0))
-    needed = F.least(F.lit(LITERALS), F.size(templates))
-    return F.when(plain >= needed, F.xxhash64(*parts))
 
+def _named_code(token: Column, code: Column) -> Column:
+    """As ``_code``, but such a word is a name."""
+    return F.when(token.startswith(_S), _type_code(F.lit(MARK + "p"))).otherwise(code)
 
-def _windows(templates: Column, words: int) -> Column:
-    """Hash of each window, null where it has too few plain words.
 
-    Fewer tokens than a window make one window of all of them.
-    """
-    last = F.greatest(F.size(templates) - words, F.lit(0))
-    hashed = F.transform(F.sequence(F.lit(0), last), lambda i: _hash_at(templates, i, words))
-    return F.when(F.size(templates) > 0, hashed).otherwise(F.array().cast("array<bigint>"))
+def _enough_words(codes: list[Column], n_tokens: Column) -> Column:
+    plain = reduce(lambda a, b: a + b, ((c >= 0).cast("int") for c in codes))
+    return plain >= F.least(F.lit(LITERALS), n_tokens)
 
 
-def _named_windows(tokens: Column, words: int) -> Column:
-    """Hash of each window that holds a word where a sentence may begin, as a name; else null."""
+def _codes_at(codes: str, at: Column, words: int) -> list[Column]:
+    """The codes of a window; beyond the end of a shorter text ``_NONE``."""
+    return [F.coalesce(F.get(codes, at + k), F.lit(_NONE)) for k in range(words)]
 
-    def window(named: Column, i: Column) -> Column:
-        return F.when(F.exists(F.slice(tokens, i + 1, words), lambda t: t.startswith(_S)), _hash_at(named, i, words))
 
-    last = F.greatest(F.size(tokens) - words, F.lit(0))
-    hashed = bound(F.transform(tokens, _named), lambda t: F.transform(F.sequence(F.lit(0), last), lambda i: window(t, i)))
-    some = F.exists(tokens, lambda t: t.startswith(_S))
-    return F.when(some, hashed).otherwise(F.array().cast("array<bigint>"))
+def _begins(words: int) -> Column:
+    """Where windows begin. Fewer tokens than a window make one window of all of them."""
+    last = F.greatest(F.size("codes") - words, F.lit(0))
+    return F.when(F.size("codes") > 0, F.sequence(F.lit(0), last))
 
 
-def _tokenised(table: DataFrame, key: str, words: int) -> DataFrame:
-    """key, tokens, and the hashes of windows: ``windows``, and ``named`` with names where sentences begin."""
+def _tokenised(table: DataFrame, key: str) -> DataFrame:
+    """key, tokens, and their codes: ``codes``, and ``named`` with names where sentences begin."""
     tokens = table.select(key, template_tokens(F.col("text").cast("string")).alias("tokens"))
-    return tokens.select(
-        key,
-        "tokens",
-        bound(F.transform("tokens", _template), lambda t: _windows(t, words)).alias("windows"),
-        _named_windows(F.col("tokens"), words).alias("named"),
-    )
+    coded = tokens.select(key, "tokens", F.transform("tokens", _code).alias("codes"))
+    return coded.select(key, "tokens", "codes", F.zip_with("tokens", "codes", _named_code).alias("named"))
 
 
 def _places(rows: DataFrame, key: str, at: str, words: int) -> DataFrame:
-    """(key, at, hash, window, tokens): a row for each window and hash; ``window`` is its first hash."""
-    # All parts of a window are put together before rows are made, so that no row holds a whole text.
-    entry = lambda w, i: F.struct(
-        i.alias(at), w.alias("window"), F.get("named", i).alias("named"), F.slice("tokens", i + 1, words).alias("tokens")
+    """(key, at, window, tokens, hash): a row for each window and hash; ``window`` is its first hash.
+
+    Hashes are taken of rows, one for each window, since Spark compiles these but interprets
+    functions over the elements of an array. All that is left of the text in a row that leaves
+    this pass are the window's tokens.
+    """
+    kept = [f"code{k}" for k in range(words)]
+    named = [f"named{k}" for k in range(words)]
+    rows = rows.select(key, "tokens", "codes", "named", F.explode(_begins(words)).alias(at)).select(
+        key,
+        at,
+        F.slice("tokens", F.col(at) + 1, words).alias("tokens"),
+        F.size("codes").alias("n_tokens"),
+        *[c.alias(n) for c, n in zip(_codes_at("codes", F.col(at), words), kept)],
+        *[c.alias(n) for c, n in zip(_codes_at("named", F.col(at), words), named)],
     )
-    entries = F.filter(F.transform("windows", entry), lambda e: e["window"].isNotNull())
-    rows = rows.select(key, F.explode(entries).alias("entry")).select(key, "entry.*")
+    changed = reduce(lambda a, b: a | b, (F.col(a) != F.col(b) for a, b in zip(kept, named)))
+    first = F.when(_enough_words([F.col(c) for c in kept], F.col("n_tokens")), F.xxhash64(*kept))
+    second = F.when(changed & _enough_words([F.col(c) for c in named], F.col("n_tokens")), F.xxhash64(*named))
+    rows = rows.select(key, at, "tokens", first.alias("window"), second.alias("named"))
     rows = rows.select(key, at, "window", "tokens", F.explode(F.array("window", "named")).alias("hash"))
     return rows.where(F.col("hash").isNotNull())
 
 
 def benchmark_windows(benchmark: DataFrame, words: int = WORDS) -> DataFrame:
     """(item, window, hash, at, n_windows, item_tokens) of the benchmark, a row for each window and hash."""
-    rows = _places(_tokenised(benchmark, "item", words), "item", "at", words).withColumnRenamed("tokens", "item_tokens")
+    rows = _places(_tokenised(benchmark, "item"), "item", "at", words).withColumnRenamed("tokens", "item_tokens")
     totals = rows.groupBy("item").agg(F.count_distinct("window").alias("n_windows"))
     return rows.join(totals, "item")
 
@@ -170,9 +176,9 @@ def _exact_windows(tokens: Column, length: Column | int) -> Column:
 
 def find_exact(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """(row, item, n_windows, n_found, n_slots) for items without a full window of two plain words."""
-    tokenised = _tokenised(benchmark, "item", words)
-    whole = (F.size("tokens") >= words) & F.exists("windows", lambda w: w.isNotNull())
-    tokens = tokenised.where(~whole).select("item").join(benchmark, "item")
+    full = lambda i: _enough_words(_codes_at("codes", i, words), F.size("codes"))
+    whole = (F.size("tokens") >= words) & F.exists(_begins(words), full)
+    tokens = _tokenised(benchmark, "item").where(~whole).select("item").join(benchmark, "item")
     tokens = tokens.select("item", exact_words(F.col("text").cast("string")).alias("tokens")).where(F.size("tokens") > 0)
     length = F.least(F.size("tokens"), F.lit(words))
     table = materialize(
@@ -216,9 +222,9 @@ def find_contamination(
     distinct = table.select("item", "window", "hash", "n_windows").distinct()
     enough = 100 * F.col("n_found") >= share * F.col("n_windows")
 
-    scanned = _tokenised(docs, "row", words).select("row", F.explode(F.array_union("windows", "named")).alias("hash"))
+    scanned = _places(_tokenised(docs, "row"), "row", "place", words).select("row", "hash")
     candidates = materialize(
-        _meet(scanned.where(F.col("hash").isNotNull()), distinct, small)
+        _meet(scanned, distinct, small)
         .groupBy("row", "item", "n_windows")
         .agg(F.count_distinct("window").alias("n_found"))
         .where(enough)
@@ -228,7 +234,7 @@ def find_contamination(
 
     # Second look: the aligned slots of those documents.
     again = docs.join(candidates.select("row").distinct(), "row")
-    places = _places(_tokenised(again, "row", words), "row", "place", words).drop("window")
+    places = _places(_tokenised(again, "row"), "row", "place", words).drop("window")
     aligned = _meet(places, table, small).join(candidates, ["row", "item"], "left_semi")
     # A word where a sentence may begin stands for the same as a name elsewhere.
     same = lambda tokens: F.transform(
