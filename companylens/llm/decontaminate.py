@@ -48,16 +48,18 @@ UNITS = (
 # A marker that texts hold only by accident, then the type: p name, n number, u unit, s word
 # with a capital where a sentence may begin.
 # A look ahead comes first: most places fail there, before a costlier look behind.
+# Groups that repeat are possessive (``*+``, ``++``): the others take stack for each repeat, and a
+# text with some thousand names or numbers in a row ends the executor.
 MARK = "\x01"
 _NAME = r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}[\p{L}'’-]*"
 # With the names right after it, so that names of different length fit the same slot.
 _START = (
     r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}" + MARK + r"])(?<![\p{L}\p{N}]['’-])"
-    r"(\p{Lu}\p{Ll}[\p{L}'’-]*)(?: +" + MARK + r"p[\p{L}'’-]+)*"
+    r"(\p{Lu}\p{Ll}[\p{L}'’-]*)(?: +" + MARK + r"p[\p{L}'’-]+)*+"
 )
-_NUMBER = r"(?=[0-9])(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*"
+_NUMBER = r"(?=[0-9])(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*+"
 _UNIT = "(" + MARK + r"n[0-9.,]+) +(" + "|".join(UNITS) + r")\b"
-_BETWEEN = r"(?:(?![.,][0-9])[^\p{L}\p{N}" + MARK + "])+"
+_BETWEEN = r"(?:(?![.,][0-9])[^\p{L}\p{N}" + MARK + "])++"
 
 
 _S = MARK + "s"

@@ -120,6 +120,22 @@ def test_short_items_and_items_without_words(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (2, 2), (3, 3), (5, 4)]
 
 
+def test_long_runs_of_names_numbers_and_signs(spark):
+    """They take no stack: a stack overflow ends the executor, and with it the job."""
+    names, numbers, signs = "Anna " * 30_000, "12," * 30_000 + "7", "\U0001f600 - " * 30_000
+    runs = [names, numbers, signs]
+    docs = [(i, f"so said {run} to them. {QUESTION}") for i, run in enumerate(runs)]
+    docs += [(10 + i, f"{run} to them, {QUESTION[:50]}") for i, run in enumerate(runs)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = contaminated_documents(table, spark.createDataFrame([(1, QUESTION)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == {0, 1, 2}
+    tokens = {r["doc_id"]: r["tokens"] for r in _tokenised(table, "doc_id").collect()}
+    assert [tokens[i][:5] for i in range(2)] == [["so", "said", MARK + t, "to", "them"] for t in ("panna", "n" + numbers)]
+    assert tokens[2][:4] == ["so", "said", "to", "them"]
+    assert [tokens[10 + i][:3] for i in range(2)] == [[MARK + t, "to", "them"] for t in ("sanna", "n" + numbers)]
+    assert tokens[12][:2] == ["to", "them"]
+
+
 def test_windows(spark):
     """Hashes of windows are compiled, and equal where the templates are, as put together word by word."""
     texts = [QUESTION, QUESTION.replace("30", "7"), "Alice met Bob. Carol met him, 3 km on.", "Ann has 5", "Two", "7 8 9", None, ""]
